@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from materia.llm import exact_dedup, langid, mixing, packing, quality, simhash, toxicity
+from materia.llm import exact_dedup, extraction, langid, media, mixing, packing, pii, quality, simhash, toxicity
 from materia.llm.common import crc_mod, load
 
 
@@ -52,6 +52,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op6_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extraction.extract(load(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "wrapper")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = langid.fit(docs, crc_mod("doc_id", 4) != 2)
@@ -60,13 +65,29 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("pii_base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.start, s.stop)), ",")
+    return found.select("doc_id", *counts, F.sha2(joined("pii_base"), 256).alias("base_sha256"), joined("pii_spans").alias("spans"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, payloads = media.text_and_media(load(spark, sf_dir, "documents"))
+    stored = media.features(media.store(payloads))
+    pages = media.sequences(documents).select("doc_id", "n_bytes", "items")
+    return media.resolve(pages, stored, ["doc_id", "n_bytes"]).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption"
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.find_repeats(load(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_quality, op4_mixing, op5_simhash, op7_language, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_quality, op4_mixing, op5_simhash, op6_extraction, op7_language, op8_personal_data, op9_media, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
