@@ -105,3 +105,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold, limits
     for y, limit in limits.items():
         keep |= (F.col("_y") == y) & hash_share(id_col, label, min(1.0, limit / max(1, counts.get(y, 0))))
     return docs.join(known.filter(keep), id_col)
+
+
+def label_shares(labels: DataFrame, label: str, fold, id_col: str = "doc_id") -> dict[int, float]:
+    """Share of each label among the labelled rows of the training folds."""
+    known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & fold)
+    counts = {int(r["y"]): r["count"] for r in known.groupBy(F.col(label).alias("y")).count().collect()}
+    return {y: n / sum(counts.values()) for y, n in counts.items()}

@@ -67,7 +67,8 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("pii_base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    number = lambda kind: F.size(F.filter("pii_base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    counts = [number(kind) for kind in pii.BASE]
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.start, s.stop)), ",")
     return found.select("doc_id", *counts, F.sha2(joined("pii_base"), 256).alias("base_sha256"), joined("pii_spans").alias("spans"))
 

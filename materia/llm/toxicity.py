@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from materia.llm.common import add_from_text, labelled_sample
+from materia.llm.common import add_from_text, label_shares, labelled_sample
 
 TOXIC, CLEAN = 4000, 8000
 WINDOW = 8
@@ -153,7 +153,7 @@ class Matcher:
         return low, {w: h for w in set(_WORD.findall(low)) if (h := self._look(w))}
 
     def features(self, text: str | None) -> np.ndarray:
-        """1; abuse, quotation, inexact matches, different terms (logarithms); densest window."""
+        """1; logarithms of abuse, quotation, inexact matches, different exact terms, and the densest window."""
         low, hit = self.hits(text)
         out = np.zeros(FEATURES)
         out[0] = 1.0
@@ -172,18 +172,20 @@ class Matcher:
             after = low[words[i].end() : words[min(len(words) - 1, i + WINDOW)].end()].partition("\n")[0]
             # a quotation is opened on the line before and closed after, within the window
             is_quoted = sum(before.count(q) for q in _QUOTES) % 2 == 1 and any(q in after for q in _QUOTES)
-            score = min(weight, 6.0) / 6.0 * (1.0 + 0.25 * near) * (0.5 if edits else 1.0)
+            score = min(weight, 6.0) / 6.0 * (1.0 + 0.25 * near)
             if is_quoted:
                 quoted += score
+            elif edits:
+                inexact += score
             else:
                 abuse += score
-            inexact += edits < 0
-            densest = max(densest, near + 1.0)
-        out[1:] = np.log1p(abuse), np.log1p(quoted), np.log1p(inexact), np.log1p(len(hit)), np.log1p(densest)
+                densest = max(densest, near + 1.0)
+        exact = sum(e == 0 for _, e in hit.values())
+        out[1:] = np.log1p(abuse), np.log1p(quoted), np.log1p(inexact), np.log1p(exact), np.log1p(densest)
         return out
 
 
-def learn_terms(sample: DataFrame, text_col: str, least_share: float = 0.02, least_texts: int = 5) -> list[Term]:
+def learn_terms(sample: DataFrame, text_col: str, least_share: float = 0.02, least_texts: int = 5, most_clean: float = 0.1) -> list[Term]:
     """Terms by the texts of each label that have them; counted by Spark, at most MAX_TERMS returned."""
     # copies of a text would lift its rare words
     texts = sample.select(F.lower(text_col).alias("t"), "_y").filter("t is not null").dropDuplicates(["t"])
@@ -195,12 +197,12 @@ def learn_terms(sample: DataFrame, text_col: str, least_share: float = 0.02, lea
     words = words.filter(F.length("word") >= STEM[0])
     least = max(least_texts, least_share * toxic)
     counted = words.groupBy("word").agg(F.sum("_y").alias("toxic"), F.sum(1 - F.col("_y")).alias("clean"))
-    whole = counted.filter((F.col("toxic") >= least) & (F.col("clean") <= 0.02 * F.col("toxic"))).orderBy(F.desc("toxic"), "word").limit(MAX_TERMS).collect()
+    whole = counted.filter((F.col("toxic") >= least) & (F.col("clean") <= most_clean * F.col("toxic"))).orderBy(F.desc("toxic"), "word").limit(MAX_TERMS).collect()
     # prefixes: summed over the words first, as a text seldom has two completions of one stem
     low, high = STEM
     stems = counted.select(F.explode(F.expr(f"transform(sequence({low}, least({high}, length(word))), n -> left(word, n))")).alias("stem"), "toxic", "clean", "word")
     stems = stems.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.max("toxic").alias("top"))
-    stems = stems.filter((F.col("toxic") >= least) & (F.col("clean") <= 0.02 * F.col("toxic")) & (F.col("toxic") >= 1.3 * F.col("top")))
+    stems = stems.filter((F.col("toxic") >= least) & (F.col("clean") <= most_clean * F.col("toxic")) & (F.col("toxic") >= 1.3 * F.col("top")))
     stems = stems.orderBy(F.desc("toxic"), "stem").limit(MAX_TERMS).collect()
     odds = lambda r: float(np.log((r["toxic"] + 0.5) / (toxic + 1)) - np.log((r["clean"] + 0.5) / (clean + 1)))
     found = {r["stem"]: r for r in stems}
@@ -217,10 +219,9 @@ def learn_terms(sample: DataFrame, text_col: str, least_share: float = 0.02, lea
     return sorted((t for t in terms if t.weight > 0), key=lambda t: (-t.weight, t.text))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Newton steps for a logistic model; classes weigh alike."""
+def _logistic(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 1e-3, rounds: int = 50) -> np.ndarray:
+    """Newton steps for a logistic model; ``cost`` weighs the rows."""
     w = np.zeros(x.shape[1])
-    cost = np.where(y == 1, 0.5 / max(1e-9, y.mean()), 0.5 / max(1e-9, 1 - y.mean()))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (cost * p * (1 - p))[:, None]).T @ x / len(y) + penalty * np.eye(len(w))
@@ -253,7 +254,10 @@ def fit(docs: DataFrame, labels: DataFrame, fold, label: str = "toxic", id_col:
     rows = add_from_text(sample, text_col, make, "x array<double>").select("_y", "x").collect()
     y = np.array([r["_y"] for r in rows], float)
     if 0 < y.mean() < 1:
-        model.weights = _logistic(np.array([r["x"] for r in rows]), y)
+        # the sample holds the labels in other shares than the corpus does; rows weigh what they stand for
+        shares = label_shares(labels, label, fold, id_col)
+        cost = np.where(y == 1, shares.get(1, 0.0) / y.mean(), shares.get(0, 0.0) / (1 - y.mean()))
+        model.weights = _logistic(np.array([r["x"] for r in rows]), y, cost)
     return model
 
 
