@@ -12,6 +12,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- whitespace, case, accents -------------------------------------------------------------
 
@@ -46,13 +47,13 @@ def fold(c: Column) -> Column:
     return strip_accents(normalize(c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc_py(s: pd.Series) -> pd.Series:
     """Canonical composition."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold_py(s: pd.Series) -> pd.Series:
     """Case folding (unlike lower case, ß becomes ss), decomposed, marks dropped, đ is d."""
 
@@ -142,7 +143,7 @@ def dedup_blocks(c: Column) -> Column:
     return F.struct(F.array_join(kept, "\n").alias("text"), (F.size(all_lines) - F.size(kept)).alias("duplicates"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def deflate_ratio_py(s: pd.Series) -> pd.Series:
     """Compressed by plain UTF-8 size; null for an empty text."""
     import zlib
@@ -282,42 +283,51 @@ def slug_of_url(c: Column) -> Column:
 
 def updated_at(c: Column) -> Column:
     """dd/mm/yyyy after the marker of an update; null if there is none."""
-    return F.nullif(F.regexp_extract(c, r"(?iu)c[âậ]p nh[âậ]t[^0-9]{0,40}(\d{1,2}/\d{1,2}/\d{4})", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(c, r"(?iu)cập\s+nhật\s*:\s*(\d{1,2}/\d{1,2}/\d{4})", 1), F.lit(""))
 
 
-# What a heading contains and the section it opens, first rule first.
+# What a folded heading contains and the section it opens, first rule first.
 HEADING_RULES = (
-    ("chong chi dinh", "chong_chi_dinh"), ("chi dinh", "chi_dinh"), ("tuong tac", "tuong_tac_thuoc"), ("tuong ky", "tuong_ky"), ("than trong", "than_trong"),
-    ("mang thai", "thai_ky_cho_con_bu"), ("cho con bu", "thai_ky_cho_con_bu"), ("khong mong muon", "tac_dung_khong_mong_muon"), ("lieu luong", "lieu_luong_va_cach_dung"),
-    ("cach dung", "lieu_luong_va_cach_dung"), ("qua lieu", "qua_lieu_va_xu_tri"), ("duoc luc", "duoc_luc_hoc"), ("duoc dong", "duoc_dong_hoc"),
-)
+    ("dang_thuoc_va_ham_luong", ("dang thuoc va ham luong",)),
+    ("duoc_luc_hoc", ("duoc luc hoc",)),
+    ("duoc_dong_hoc", ("duoc dong hoc",)),
+    ("chong_chi_dinh", ("chong chi dinh",)),
+    ("chi_dinh", ("chi dinh",)),
+    ("than_trong", ("than trong",)),
+    ("thai_ky_cho_con_bu", ("thoi ky mang thai va cho con bu", "phu nu co thai", "cho con bu")),
+    ("tac_dung_khong_mong_muon", ("tac dung khong mong muon", "adr")),
+    ("lieu_luong_va_cach_dung", ("lieu luong va cach dung", "lieu dung", "cach dung")),
+    ("tuong_tac_thuoc", ("tuong tac thuoc", "tuong tac")),
+    ("qua_lieu_va_xu_tri", ("qua lieu va xu tri",)),
+    ("bao_quan", ("bao quan",)),
+)
 
 
 def heading_key(c: Column) -> Column:
-    """Section key of a heading: a listed one, or the heading as a key."""
-    name = F.trim(F.regexp_replace(fold(c), r"^[0-9ivx]+\s*[.)]\s*|[:.]+$", ""))
-    key = None
-    for part, value in HEADING_RULES:
-        key = F.when(F.contains(name, F.lit(part)), value) if key is None else key.when(F.contains(name, F.lit(part)), value)
-    return key.otherwise(F.replace(slugify(c), F.lit("-"), F.lit("_")))
-
-
-def suffix_chain(c: Column, least: int = 4) -> Column:
-    """A row of at least ``least`` cells (a | b | c) each ending as the cell before it does, as tables read twice have."""
-    cells = F.filter(F.transform(F.split(c, r"\|"), lambda x: F.trim(x)), lambda x: x != "")
-    state = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("hits"))
-    hits = F.aggregate(
-        cells, state,
-        lambda s, x: F.struct(x.alias("last"), (s.hits + F.coalesce(F.endswith(s.last, x) & (F.length(x) < F.length(s.last)), F.lit(False)).cast("int")).alias("hits")),
-        lambda s: s.hits,
-    )
-    return (F.size(cells) >= least) & (hits >= F.size(cells) - 1)
+    """Section key of a heading: that of the first rule it meets, else the heading itself as a key."""
+    name = fold(F.regexp_replace(c, r"^\s*\d+(?:\.\d+)*[.)]?\s*", ""))
+    own = F.trim(F.regexp_replace(name, "[^a-z0-9]+", "_"), F.lit("_"))
+    both = F.contains(name, F.lit("chong chi dinh")) & F.contains(F.replace(name, F.lit("chong chi dinh")), F.lit("chi dinh"))
+    return F.when(both, "chi_dinh_chong_chi_dinh").otherwise(first_rule(name, HEADING_RULES, F.when(own == "", "section").otherwise(own)))
+
+
+def suffix_chain(c: Column) -> Column:
+    """Two steps in a row, among the cells of a | b | c, to a shorter cell that the one before contains."""
+    cells = F.filter(F.transform(F.split(c, r"\|"), lambda x: F.lower(squeeze(x))), lambda x: x != "")
+    state = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(False).alias("found"))
+
+    def step(s: Column, x: Column) -> Column:
+        link = F.coalesce((F.length(x) < F.length(s.last)) & F.contains(s.last, x), F.lit(False))
+        run = F.when(link, s.run + 1).otherwise(0)
+        return F.struct(x.alias("last"), run.cast("int").alias("run"), (s.found | (run >= 2)).alias("found"))
+
+    return F.aggregate(cells, state, step, lambda s: s.found)
 
 
 # --- rules on wording -----------------------------------------------------------------------
 
 
-def first_rule(c: Column, rules, default: str) -> Column:
+def first_rule(c: Column, rules, default: str | Column) -> Column:
     """Value of the first rule (value, phrases) of which the text contains a phrase."""
     out = None
     for value, phrases in rules:

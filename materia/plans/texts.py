@@ -143,13 +143,13 @@ def urls(spark, sf):
 @query("x21_heading_key", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'chong_chi_dinh' WHEN 1 THEN 'chi_dinh' WHEN 2 THEN 'lieu_luong_va_cach_dung' ELSE replace(p_name, ' ', '_') END AS section FROM part""")
 def headings(spark, sf):
     k = F.col("p_partkey") % 4
-    head = F.when(k == 0, "3. Chống chỉ định:").when(k == 1, "Chỉ định").when(k == 2, "Cách dùng").otherwise(F.col("p_name"))
+    head = F.when(k == 0, "3.1) Chống chỉ định:").when(k == 1, "Chỉ định").when(k == 2, "Cách dùng").otherwise(F.col("p_name"))
     return table(spark, sf, "part").select("p_partkey", X.heading_key(head).alias("section"))
 
 
 @query("x22_updated_at", """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') END AS updated_at FROM orders""")
 def dates(spark, sf):
-    line = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "Ngày cập nhật: ").otherwise("Ngày: "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit(" bởi"))
+    line = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "Ngày cập nhật : ").otherwise("Ngày: "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit(" bởi"))
     return table(spark, sf, "orders").select("o_orderkey", X.updated_at(line).alias("updated_at"))
 
 
