@@ -1 +1,13 @@
+"""Named queries over the tables, by family."""
 
+from __future__ import annotations
+
+import importlib
+
+MODULES = ("evidence", "texts", "profiles", "catalogs", "resolution", "landings", "pages", "notes", "risks", "history", "prescriptions", "messages")
+
+
+def load() -> None:
+    """Import every family, which registers its queries."""
+    for name in MODULES:
+        importlib.import_module(f"materia.plans.{name}")
