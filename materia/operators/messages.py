@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from materia.functions import text as X
@@ -56,38 +56,48 @@ def _clean(c: Column) -> Column:
     return F.trim(X.squeeze(c), F.lit(" -/"))
 
 
-def mentions(message: Column, most: int = 4) -> Column:
-    """Names on both sides of the first connector, cleaned of what isn't a name."""
+def with_mentions(rows: DataFrame, message: str, most: int = 4, out: str = "mentions") -> DataFrame:
+    """``rows`` with the names on both sides of the first connector, cleaned of what isn't a name; one step a column."""
+    names = list(rows.columns)
     split = None
     for pattern in CONNECTORS:
         parts = F.split(message, f"(?iuU){pattern}", 2)
-        split = F.when(F.size(parts) > 1, parts) if split is None else split.when(F.size(parts) > 1, parts)
-    sides = split.otherwise(F.array(message))
-    pieces = F.flatten(F.transform(sides, lambda s: F.split(_clean(s), r"(?iuU)\b(?:và|với)\b")))
-    found = F.transform(pieces, lambda p: _clean(F.regexp_extract(_clean(p), MENTION, 1)))
-    named = F.filter(found, lambda m: (F.length(X.fold(m)) >= 3) & ~X.fold(m).isin(*GENERIC))
+        hit = F.col(message).rlike(f"(?iuU){pattern}")
+        split = F.when(hit, parts) if split is None else split.when(hit, parts)
+    rows = rows.withColumn("_sides", split.otherwise(F.array(message)))
+    rows = rows.withColumn("_sides", F.transform("_sides", _clean))
+    rows = rows.withColumn("_parts", F.flatten(F.transform("_sides", lambda s: F.split(s, r"(?iuU)\b(?:và|với)\b"))))
+    rows = rows.withColumn("_parts", F.transform("_parts", _clean))
+    rows = rows.withColumn("_parts", F.transform("_parts", lambda p: _clean(F.regexp_extract(p, MENTION, 1))))
+    rows = rows.withColumn("_found", F.transform("_parts", lambda m: F.struct(m.alias("m"), X.fold(m).alias("f"))))
+    rows = rows.withColumn("_found", F.filter("_found", lambda x: (F.length(x.f) >= 3) & ~x.f.isin(*GENERIC)))
     # equal after folding is one mention, as first written
-    keep = F.filter(named, lambda m, i: F.array_position(F.transform(named, X.fold), X.fold(m)) == i + 1)
-    return F.slice(keep, 1, most)
+    keys = F.transform("_found", lambda x: x.f)
+    rows = rows.withColumn("_keys", keys)
+    keep = F.filter("_found", lambda x, i: F.array_position("_keys", x.f) == i + 1)
+    return rows.select(*(c for c in names if c != out), F.slice(F.transform(keep, lambda x: x.m), 1, most).alias(out))
 
 
-def classify(message: Column) -> Column:
-    """(intent, topic, confidence) of a message with its mentions."""
-    folded, found = X.fold(message), mentions(message)
-    n = F.size(found)
-    translation = folded.rlike(TRANSLATION)
-    medical = any_of(folded, MEDICAL)
-    outside = translation | (~medical & folded.rlike(OUT_OF_SCOPE))
-    interaction = any_of(folded, INTERACTION)
-    single = interaction & (n == 1) & folded.rlike(SINGLE_LOOKUP)
-    topic = X.first_rule(folded, TOPICS, "general")
-    about = (topic != "general") | (n > 0) | medical
-    intent = F.when(outside, "out_of_scope").when(single, "single_drug_query").when(interaction, "drug_interaction_query").when(about, "single_drug_query").otherwise("out_of_scope")
-    confidence = (
-        F.when(outside, 0.95).when(single, 0.85).when(interaction & (n >= 2), 0.9).when(interaction, 0.65).when(about & (n > 0), 0.85).when(about, 0.55).otherwise(0.75)
+def classify(rows: DataFrame, message: str, out: str = "c") -> DataFrame:
+    """``rows`` with a struct of intent, topic, confidence and mentions of each message."""
+    names = list(rows.columns)
+    rows = with_mentions(rows, message, out="_mentions").withColumn("_folded", X.fold(F.col(message)))
+    folded, n = F.col("_folded"), F.size("_mentions")
+    rows = rows.withColumns({
+        "_medical": any_of(folded, MEDICAL), "_asks_pair": any_of(folded, INTERACTION), "_single": folded.rlike(SINGLE_LOOKUP), "_topic": X.first_rule(folded, TOPICS, "general"),
+        "_off": folded.rlike(OUT_OF_SCOPE), "_translation": folded.rlike(TRANSLATION),
+    })
+    outside = F.col("_translation") | (~F.col("_medical") & F.col("_off"))
+    pair = F.col("_asks_pair")
+    single = pair & (n == 1) & F.col("_single")
+    about = (F.col("_topic") != "general") | (n > 0) | F.col("_medical")
+    intent = F.when(outside, "out_of_scope").when(single, "single_drug_query").when(pair, "drug_interaction_query").when(about, "single_drug_query").otherwise("out_of_scope")
+    confidence = F.when(outside, 0.95).when(single, 0.85).when(pair & (n >= 2), 0.9).when(pair, 0.65).when(about & (n > 0), 0.85).when(about, 0.55).otherwise(0.75)
+    made = F.struct(
+        intent.alias("intent"), F.when(outside, "general").when(pair, "interaction").otherwise(F.col("_topic")).alias("topic"), confidence.alias("confidence"),
+        F.when(outside, F.array().cast("array<string>")).otherwise(F.col("_mentions")).alias("mentions"),
     )
-    return F.struct(intent.alias("intent"), F.when(outside, "general").when(interaction, "interaction").otherwise(topic).alias("topic"), confidence.alias("confidence"),
-                    F.when(outside, F.array().cast("array<string>")).otherwise(found).alias("mentions"))
+    return rows.select(*(c for c in names if c != out), made.alias(out))
 
 
 def kind_of_text(text: Column) -> Column:

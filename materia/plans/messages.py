@@ -21,14 +21,14 @@ def messages(spark, sf):
 @query("t11_intent", """SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'drug_interaction_query' WHEN 1 THEN 'single_drug_query' ELSE 'out_of_scope' END AS intent, CASE conv_id % 4 WHEN 0 THEN 'interaction' WHEN 1 THEN 'adverse_effect' ELSE 'general' END AS topic,
   CASE conv_id % 4 WHEN 0 THEN 'Omeprazol|sucralfate' WHEN 1 THEN 'Paracetamol' ELSE '' END AS mentions FROM conversations WHERE turn = 0 AND conv_id % 4 < 3""")
 def intent(spark, sf):
-    m = messages(spark, sf).filter("asked <> ''").select("conv_id", "turn", M.classify(F.col("asked")).alias("c"))
+    m = M.classify(messages(spark, sf).filter("asked <> ''").select("conv_id", "turn", "asked"), "asked")
     return m.select("conv_id", "turn", "c.intent", "c.topic", F.array_join("c.mentions", "|").alias("mentions"))
 
 
 @query("t11_intent_of_turns")
 def intent_of_turns(spark, sf):
     """Whole turns as messages: how many of each intent."""
-    m = table(spark, sf, "conversations").select(M.classify(F.col("text")).alias("c"))
+    m = M.classify(table(spark, sf, "conversations").select("text"), "text")
     return m.groupBy("c.intent", "c.topic").agg(F.count("*").alias("n"))
 
 
