@@ -96,7 +96,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold, limits
     """Labelled documents of the training folds, about ``limits[y]`` of each label at most.
 
     The sample bounds what a model is fitted on, at any size of the corpus; the
-    share of each label is set from the counts of all labelled rows.
+    share of each label is set from the counts of all labelled rows. It is
+    written to the shared folder, so that fitting reads the corpus once.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & fold)
     known = known.groupBy(id_col).agg(F.max(label).cast("int").alias("_y"))
@@ -104,7 +105,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold, limits
     keep = F.lit(False)
     for y, limit in limits.items():
         keep |= (F.col("_y") == y) & hash_share(id_col, label, min(1.0, limit / max(1, counts.get(y, 0))))
-    return docs.join(known.filter(keep), id_col)
+    # about sum(limits) ids, whatever the corpus: small enough to broadcast, so no text is shuffled
+    return shared_table(docs.join(F.broadcast(known.filter(keep)), id_col), "sample")
 
 
 def label_shares(labels: DataFrame, label: str, fold, id_col: str = "doc_id") -> dict[int, float]:
