@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from materia.llm.common import add_from_text, shared_table
 
 PARTS = 16
+#: Most bytes of all hosts' fields that are broadcast; their size is measured.
+BROADCAST_BYTES = 8_000_000
 MAX_FOLD = 8
 
 # Tag names by what they do here.
@@ -264,7 +266,7 @@ def roles(parsed: DataFrame, wrappers: DataFrame, least_pages: int = 3) -> DataF
     return wrappers.join(dropped, "host", "left")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, url, text (blocks in page order, one line each), wrapper of the host."""
     names = ("path", "zone", "text", "linked")
     kind = pa.list_(pa.struct([("path", pa.string()), ("zone", pa.string()), ("text", pa.string()), ("linked", pa.int64())]))
@@ -274,7 +276,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             found = [parse(t) for t in texts]
             return [
                 pa.array([" ".join(fold(stream)) for stream, _ in found]),
-                pa.array([[dict(zip(names, b, strict=True)) for b in blocks] for _, blocks in found], kind),
+                # boilerplate has done its part in the stream
+                pa.array([[dict(zip(names, b, strict=True)) for b in blocks if b[1] != "boiler"] for _, blocks in found], kind),
             ]
 
         return run
@@ -283,8 +286,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     parsed = add_from_text(rows, "html", make, "stream string, blocks array<struct<path: string, zone: string, text: string, linked: bigint>>").drop("html")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1))
     parsed = shared_table(parsed.withColumn("host", host), "parsed")
-    fields = roles(parsed, infer(parsed))
-    joined = parsed.join(fields, "host", "left")
+    fields = shared_table(roles(parsed, infer(parsed)), "fields")
+    size = fields.agg(F.sum(F.length("wrapper") + F.coalesce(F.length(F.array_join("drop", " ")), F.lit(0)) + F.length("host") + 64)).first()[0] or 0
+    # while all hosts' fields are few bytes they go to the pages; beyond that pages are shuffled to their host
+    joined = parsed.join(F.broadcast(fields) if size <= broadcast_bytes else fields, "host", "left")
     has_main = F.exists("blocks", lambda b: b.zone == "main")
     main = F.filter("blocks", lambda b: b.zone == "main")
     body = F.filter("blocks", lambda b: (b.zone == "body") & ~F.array_contains(F.coalesce("drop", F.array().cast("array<string>")), b.path))
