@@ -4,8 +4,9 @@ Every partition keeps at most ``open_windows`` windows open. A document is cut
 into full windows; its remainder goes to the open window it fits best. When it
 fits none and no further window may be opened, the fullest one is completed
 with the head of the remainder (if neither part would be a sliver), emitted,
-and the rest is placed. What is open at the end of the partition is merged with
-the leftovers of neighbouring partitions in groups of bounded size.
+and the rest is placed. At the end of the partition what is open is merged into
+full windows and one leftover, and the leftovers of neighbouring partitions are
+merged in groups of bounded size.
 
 Defined results: a null or empty text is its end token alone; a null id keeps
 its pieces under a null id; repeated rows are packed once each; an empty table
@@ -33,9 +34,8 @@ OPEN_WINDOWS = 32
 #: No cut makes a piece shorter than this, so this is also the most padding of
 #: an emitted window that a remainder failed to fill.
 MIN_PIECE = 16
-#: Partitions whose leftover windows are merged by one task: at most
-#: MERGE_PARTITIONS * OPEN_WINDOWS rows of two numbers.
-MERGE_PARTITIONS = 64
+#: Partitions whose leftover windows, one each, are merged by one task.
+MERGE_PARTITIONS = 1024
 _SHIFT = 31
 
 #: Texts with these characters go to the slower library: the two may class them
@@ -144,9 +144,29 @@ class _Partition:
         self._send(slot[2], False)
 
     def finish(self) -> None:
-        for slot in self.open:
-            self._send(slot[2], True)
+        """Close the open windows: their pieces fill windows one after another; the last one is left over."""
+        pieces = [p for slot in self.open for p in slot[2]]
         self.open = []
+        slot = None
+        for doc, start, length, ids, total, _, _ in pieces:
+            at = 0
+            while at < length:
+                slot = slot or [self.window, self._new(), []]
+                rest = length - at
+                size = min(slot[0], rest)
+                if 0 < rest - size < self.least:
+                    size = rest - self.least
+                if size < min(self.least, rest):
+                    self._send(slot[2], False)
+                    slot = None
+                    continue
+                self._put(slot, doc, start + at, ids[4 * at : 4 * (at + size)], total)
+                at += size
+                if slot[0] == 0:
+                    self._send(slot[2], False)
+                    slot = None
+        if slot:
+            self._send(slot[2], True)
 
     def take(self) -> pa.RecordBatch:
         rows, self.rows, self.bytes = self.rows, [], 0
