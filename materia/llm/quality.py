@@ -95,7 +95,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], y: np.ndarray,
     stats = np.array([s for s, _, _ in rows]) if len(rows) else np.zeros((1, len(STATISTICS)))
     edges = np.quantile(stats, np.linspace(0, 1, RANGES + 1)[1:-1], axis=0).T
     m = Machine(edges, float(np.log((share + 1e-6) / (1 - share + 1e-6))), np.zeros(size), rng.normal(0, 0.05, (size, RANK)))
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         m.vector[:] = 0
         return m
     m.bias = 0.0
