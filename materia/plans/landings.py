@@ -150,3 +150,49 @@ def brand_names(spark, sf):
     head = F.regexp_extract(bare, r"^(.*?)\s*(?:\d+(?:[.,/]\d+)*(?:mg|g|mcg|µg|ml|iu|ui|%).*)?$", 1)
     words = F.array_join(F.slice(F.split(head, " "), 1, 4), " ")
     return table(spark, sf, "part").select("p_partkey", F.when(had, F.split(bare, " ")[0]).otherwise(words).alias("brand"), (~had).alias("fallback"))
+
+
+@query("s4_array_items", "SELECT p_brand AS category, p_size AS size, count(*) AS items, min(p_partkey) AS first_key FROM part GROUP BY 1, 2")
+def array_items(spark, sf):
+    """One JSON array per file, exploded with item numbers from 1."""
+    root = work_dir(spark, "arrays")
+    arrays = table(spark, sf, "part").groupBy("p_brand", "p_size").agg(F.to_json(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name")))).alias("value"))
+    arrays.select("value", F.concat(F.lit("b"), F.replace("p_brand", F.lit("#"), F.lit("-"))).alias("brand"), F.col("p_size").alias("size")).repartition("brand", "size").write.partitionBy("brand", "size").text(root)
+    items = L.explode_items(L.read_files(spark, root))
+    key = F.try_variant_get("item", "$.p_partkey", "long")
+    made = items.groupBy("path").agg(F.max("item_number").cast("long").alias("items"), F.min_by(key, "item_number").alias("first_key"))
+    brand = F.replace(F.regexp_extract("path", "brand=b([^/]+)", 1), F.lit("-"), F.lit("#"))
+    return made.select(brand.alias("category"), F.regexp_extract("path", r"size=(\d+)", 1).cast("int").alias("size"), "items", "first_key")
+
+
+@query("s5_source_fallback", "SELECT count(*) AS rows_read FROM nation")
+def source_fallback(spark, sf):
+    """The processed folder is absent, so the raw one is read."""
+    root = work_dir(spark, "fallback")
+    table(spark, sf, "nation").write.json(f"{root}/raw")
+    chosen = L.first_with_files(spark, [f"{root}/processed", f"{root}/raw"])
+    return spark.read.schema("n_nationkey int").json(chosen).agg(F.count("*").alias("rows_read"))
+
+
+@query("s7_guarded_publish", "SELECT count(*) AS lines_published, true AS refused FROM supplier")
+def guarded_publish(spark, sf):
+    """A second publish to a path is refused unless asked to overwrite; the first stays whole."""
+    from pyspark.errors import AnalysisException
+
+    path = work_dir(spark, "published")
+    rows = table(spark, sf, "supplier")
+    L.publish(rows, path)
+    try:
+        L.publish(rows.limit(0), path)
+        refused = False
+    except AnalysisException:
+        refused = True
+    L.publish(rows, path, overwrite=True)
+    return spark.read.text(path).agg(F.count("*").alias("lines_published")).withColumn("refused", F.lit(refused))
+
+
+@query("d1_pluggable_encoder", "SELECT doc_id, 8 AS dimensions FROM documents")
+def pluggable_encoder(spark, sf):
+    """Vectors of all texts by an encoder object, made once a task."""
+    made = L.encode(table(spark, sf, "documents").select("doc_id", "text"), "text", HashEncoder)
+    return made.select("doc_id", F.size("vector").alias("dimensions"))
