@@ -243,7 +243,9 @@ def fit(docs: DataFrame, labels: DataFrame, fold, label: str = "toxic", id_col:
         matcher = Matcher(model)
         return lambda texts: [pa.array([[w for w, h in matcher.hits(t)[1].items() if h[1] < 0] for t in texts], pa.list_(pa.string()))]
 
-    forms = add_from_text(sample, text_col, near, "form array<string>").select("_y", F.explode("form").alias("form"))
+    # forms near a term that clean texts of one half of the sample use; the other half shows what is left of them
+    half = F.pmod(F.xxhash64(F.col(id_col), F.lit("half")), F.lit(2)) == 0
+    forms = add_from_text(sample.filter(half), text_col, near, "form array<string>").select("_y", F.explode("form").alias("form"))
     forms = forms.groupBy("form").agg(F.sum("_y").alias("toxic"), F.sum(1 - F.col("_y")).alias("clean")).filter("clean > 0.1 * toxic")
     model.harmless = {r["form"] for r in forms.orderBy(F.desc("clean"), "form").limit(20 * MAX_TERMS).collect()}
 
@@ -251,13 +253,19 @@ def fit(docs: DataFrame, labels: DataFrame, fold, label: str = "toxic", id_col:
         matcher = Matcher(model)
         return lambda texts: [pa.array([list(matcher.features(t)) for t in texts], pa.list_(pa.float64()))]
 
-    rows = add_from_text(sample, text_col, make, "x array<double>").select("_y", "x").collect()
+    rows = add_from_text(sample, text_col, make, "x array<double>").select("_y", "x", half.alias("seen")).collect()
     y = np.array([r["_y"] for r in rows], float)
     if 0 < y.mean() < 1:
         # the sample holds the labels in other shares than the corpus does; rows weigh what they stand for
         shares = label_shares(labels, label, fold, id_col)
         cost = np.where(y == 1, shares.get(1, 0.0) / y.mean(), shares.get(0, 0.0) / (1 - y.mean()))
-        model.weights = _logistic(np.array([r["x"] for r in rows]), y, cost)
+        x = np.array([r["x"] for r in rows])
+        model.weights = _logistic(x, y, cost)
+        # misspelt terms are rare in labelled texts. Where texts that hold nothing else, in the half that the harmless
+        # forms weren't taken from, don't speak against it, one misspelt term of full weight is enough for a yes
+        alone = (x[:, 3] > 0) & (x[:, 1] == 0) & ~np.array([r["seen"] for r in rows])
+        if (cost[alone] * y[alone]).sum() + 1.0 > (cost[alone] * (1 - y[alone])).sum():
+            model.weights[3] = max(model.weights[3], (0.4 - model.weights[0]) / np.log(2.0))
     return model
 
 
