@@ -19,27 +19,27 @@ def field(*columns: Column) -> Column:
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns))
 
 
-def identity(slug: Column, chunk_id: Column, name: Column, title: Column) -> Column:
-    """(slug, entity_name, source of the slug, warnings) of a chunk; slug null where it has no identity.
+def with_identity(rows: DataFrame, slug: Column, chunk_id: Column, name: Column, title: Column, out: str = "identity") -> DataFrame:
+    """``rows`` with a struct of slug, entity_name, source of the slug, warnings; slug null where a chunk has no identity.
 
     Slug: given, else from the chunk id, else from the name. Name: given, else a
-    title that is short and no article's, else the words of the slug.
+    title that is short and no article's, else the words of the slug. Each step
+    is a column of its own, so that none is evaluated for each use.
     """
-    given = F.nullif(F.replace(X.normalize(slug), F.lit(" "), F.lit("-")), F.lit(""))
-    of_id = F.nullif(F.replace(X.normalize(X.slug_of_chunk_id(chunk_id)), F.lit(" "), F.lit("-")), F.lit(""))
-    known = F.coalesce(given, of_id)
-    plain = X.normalize(title)
-    direct = (plain != "") & (F.length(title) <= 120)
-    for words in ARTICLE_WORDS:
-        direct = direct & ~F.contains(plain, F.lit(words))
-    named = F.coalesce(field(name), F.when(direct, F.trim(title)))
-    derived = named.isNull() & known.isNotNull()
-    entity = F.coalesce(named, F.when(known.isNotNull(), X.normalize(F.replace(known, F.lit("-"), F.lit(" ")))))
-    final = F.coalesce(known, F.nullif(X.slugify(entity), F.lit("")))
-    source = F.when(given.isNotNull(), "explicit").when(of_id.isNotNull(), "chunk_id").when(final.isNotNull(), "entity_name")
-    warnings = F.array_compact(F.array(F.when(derived, F.lit("entity_name_derived_from_slug")), F.when(X.fold(entity).isin(*SECTION_NAMES), F.lit("entity_name_is_a_section"))))
-    ok = final.isNotNull() & entity.isNotNull()
-    return F.struct(F.when(ok, F.coalesce(F.nullif(X.slugify(final), F.lit("")), final)).alias("slug"), F.when(ok, entity).alias("entity_name"), source.alias("slug_source"), warnings.alias("warnings"))
+    names = [c for c in rows.columns if c != out]
+    key = lambda c: F.nullif(F.replace(X.normalize(c), F.lit(" "), F.lit("-")), F.lit(""))
+    rows = rows.withColumns({"_given": key(slug), "_of_id": key(X.slug_of_chunk_id(chunk_id)), "_title": F.trim(title), "_plain": X.normalize(title), "_name": field(name)})
+    article = F.col("_plain").rlike("|".join(w.replace("?", r"\?") for w in ARTICLE_WORDS))
+    direct = (F.col("_plain") != "") & (F.length("_title") <= 120) & ~article
+    rows = rows.withColumns({"_known": F.coalesce("_given", "_of_id"), "_named": F.coalesce("_name", F.when(direct, F.col("_title")))})
+    rows = rows.withColumn("_entity", F.coalesce("_named", X.normalize(F.replace("_known", F.lit("-"), F.lit(" ")))))
+    rows = rows.withColumns({"_own": F.nullif(X.slugify(F.col("_entity")), F.lit("")), "_tidy": F.nullif(X.slugify(F.col("_known")), F.lit("")), "_folded": X.fold(F.col("_entity"))})
+    source = F.when(F.col("_given").isNotNull(), "explicit").when(F.col("_of_id").isNotNull(), "chunk_id").when(F.col("_own").isNotNull(), "entity_name")
+    derived = F.when(F.col("_named").isNull() & F.col("_known").isNotNull(), F.lit("entity_name_derived_from_slug"))
+    section = F.when(F.col("_folded").isin(*SECTION_NAMES), F.lit("entity_name_is_a_section"))
+    final = F.coalesce("_tidy", "_known", "_own")
+    made = F.struct(final.alias("slug"), F.when(final.isNotNull(), F.col("_entity")).alias("entity_name"), source.alias("slug_source"), F.array_compact(F.array(derived, section)).alias("warnings"))
+    return rows.select(*names, made.alias(out))
 
 
 def counts(chunks: DataFrame, key: str, by: list[str], name: str) -> DataFrame:

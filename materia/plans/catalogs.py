@@ -101,11 +101,12 @@ def dictionary_stats(spark, sf):
   CASE doc_id % 4 WHEN 1 THEN 'entity_name_derived_from_slug' ELSE '' END AS warnings FROM documents""")
 def chunk_identity(spark, sf):
     k = F.col("doc_id") % 4
-    made = C.identity(
-        F.when(k == 0, F.col("source")), F.when(k == 1, F.concat(F.lit("longchau:ingredient:"), "lang", F.lit("-"), "source", F.lit(":x:0001"))).otherwise("plain"),
+    made = C.with_identity(
+        table(spark, sf, "documents").select("doc_id", "source", "lang"), F.when(k == 0, F.col("source")),
+        F.when(k == 1, F.concat(F.lit("longchau:ingredient:"), "lang", F.lit("-"), "source", F.lit(":x:0001"))).otherwise("plain"),
         F.when(k == 2, F.concat("source", F.lit(" Name"))), F.when(k == 0, F.concat("source", F.lit(" title"))).when(k == 1, F.concat("source", F.lit(" là thuốc gì?"))),
     )
-    return table(spark, sf, "documents").select("doc_id", made.alias("i")).select("doc_id", "i.slug", "i.entity_name", "i.slug_source", F.array_join("i.warnings", ",").alias("warnings"))
+    return made.select("doc_id", "identity.slug", "identity.entity_name", "identity.slug_source", F.array_join("identity.warnings", ",").alias("warnings"))
 
 
 @query("w1_running_index", "SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS chunk_index FROM documents")

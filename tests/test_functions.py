@@ -185,9 +185,9 @@ def test_risk_policy(spark):
 
 def test_identity(spark):
     rows = spark.createDataFrame([("", "longchau:ingredient:natri-clorid:x:0001", None, "Natri clorid là thuốc gì?"), (None, "x", None, None)], "slug string, chunk_id string, name string, title string")
-    made = rows.select(catalog.identity(F.col("slug"), F.col("chunk_id"), F.col("name"), F.col("title")).alias("i")).collect()
-    assert (made[0]["i"]["slug"], made[0]["i"]["entity_name"], made[0]["i"]["slug_source"]) == ("natri-clorid", "natri clorid", "chunk_id")
-    assert made[1]["i"]["slug"] is None
+    made = catalog.with_identity(rows, F.col("slug"), F.col("chunk_id"), F.col("name"), F.col("title")).collect()
+    assert (made[0]["identity"]["slug"], made[0]["identity"]["entity_name"], made[0]["identity"]["slug_source"]) == ("natri-clorid", "natri clorid", "chunk_id")
+    assert made[1]["identity"]["slug"] is None
 
 
 def test_landing(spark, tmp_path):
