@@ -133,3 +133,26 @@ def in_order(docs: DataFrame, shares: dict[str, float], id_col: str = "doc_id",
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return placed.repartitionByRange(parts, "mix_slot", "mix_offset").sortWithinPartitions("mix_slot", "mix_offset").select(docs.columns)
+
+
+#: The tempered mix of ``documents`` in SQL. The schedule is a recursion over the slots of one period.
+ORACLE = f"""
+WITH RECURSIVE shares AS (SELECT coalesce(source, '') AS s, sqrt(count(*)) AS share FROM documents GROUP BY 1),
+size AS (SELECT greatest({PERIOD}, 4 * count(*)) AS period, sum(share) AS total FROM shares),
+exact AS (SELECT s, greatest(1.0, share / total * period) AS x, period FROM shares, size),
+ranked AS (SELECT s, CAST(floor(x) AS BIGINT) AS whole, row_number() OVER (ORDER BY floor(x) - x, s) AS k, period FROM exact),
+weights AS (SELECT s, whole + (k <= period - (SELECT sum(whole) FROM ranked))::BIGINT AS w FROM ranked),
+given AS (SELECT list(w ORDER BY s) AS ws, list(s ORDER BY s) AS names, CAST(sum(w) AS BIGINT) AS total FROM weights),
+slots AS (
+  SELECT CAST(-1 AS BIGINT) AS t, list_transform(ws, lambda w: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS pick FROM given
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda d, i: d + (i = picked)::BIGINT), picked FROM (
+    SELECT t, done, list_sort(list_transform(list_filter(range(1, len(ws) + 1), lambda i: done[i] < ws[i] AND done[i] * total // ws[i] <= t + 1),
+      lambda i: {{'due': ((done[i] + 1) * total + ws[i] - 1) // ws[i], 'i': i}}))[1].i AS picked FROM slots, given WHERE t + 1 < total)
+),
+pattern AS (SELECT names[pick] AS s, ws[pick] AS w, total, done[pick] - 1 AS k, t FROM slots, given WHERE pick > 0),
+ranks AS (SELECT doc_id, source, coalesce(source, '') AS s, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5('mix:' || doc_id), doc_id) - 1 AS r FROM documents),
+blocks AS (SELECT doc_id, source, r // {BLOCK_ROWS} AS mix_block, r % {BLOCK_ROWS} AS mix_offset, w, total, s FROM ranks JOIN weights USING (s), (SELECT total FROM given))
+SELECT b.doc_id, b.source, b.mix_block, b.mix_block * b.total // b.w AS mix_release, ((b.mix_block + 1) * b.total + b.w - 1) // b.w AS mix_deadline,
+  (b.mix_block // b.w) * b.total + p.t AS mix_slot, b.mix_offset FROM blocks b JOIN pattern p ON p.s = b.s AND p.k = b.mix_block % b.w
+"""

@@ -92,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op4_mixing": mixing.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}

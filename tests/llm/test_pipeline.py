@@ -6,7 +6,8 @@ import random
 
 import corpus_pipeline
 import duckdb
-from materia.llm import exact_dedup, langid, queries, simhash
+import pytest
+from materia.llm import langid, queries, simhash
 from materia.llm.packing import Encoder
 
 
@@ -54,13 +55,14 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert stage(spark, docs.limit(0), folder).count() == 0
 
 
-def test_exact_dedup_matches_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_matches_sql(spark, name):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
-    wanted = con.sql(f"SELECT {', '.join(columns)} FROM ({exact_dedup.ORACLE}) ORDER BY doc_id").fetchall()
-    assert [tuple(r) for r in queries.op10_exact_dedup(spark, sf).select(columns).orderBy("doc_id").collect()] == wanted
+    found = queries.queries()[name](spark, sf)
+    wanted = con.sql(f"SELECT {', '.join(found.columns)} FROM ({queries.oracle_sql()[name]}) ORDER BY doc_id").fetchall()
+    assert [tuple(r) for r in found.orderBy("doc_id").collect()] == wanted
 
 
 def test_registry():
