@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 
 import pytest
@@ -20,7 +21,25 @@ SHELL = (
 
 
 def main_of(html):
-    return "\n".join(b[2] for b in X.parse(html)[1] if b[1] == "main")
+    """Text of the main fields of a page, read along its own expression."""
+    stream, blocks = X.parse(html)
+    own = X.Wrapper(X.expression_of(stream))
+    paths = [own.paths[f] for f in own.fields(stream)]
+    return "\n".join(t for p, (t, _) in zip(paths, blocks, strict=True) if "*" in p and "!" not in p)
+
+
+def pattern_of(items):
+    """The expression as an ordinary regular expression over tokens, written by its meaning."""
+    out = ""
+    for x in items:
+        inside = pattern_of(x.items)
+        one = "(?:# )" if x.label == "#" else f"(?:{inside})" if x.label == "(" else f"(?:{re.escape(x.label)} {inside}/ )"
+        out += f"(?:{one}{'+' if x.repeats else ''}){'?' if x.optional else ''}"
+    return out
+
+
+def takes(expression, stream):
+    return re.fullmatch(pattern_of(X.read(expression)), "".join(f"{t} " for t in stream)) is not None
 
 
 def test_article_without_boilerplate():
@@ -34,12 +53,71 @@ def test_unclosed_tags():
     assert main_of("") == main_of("<p>") == ""
 
 
-def test_fold_and_align():
-    stream = "ul li # /li li # /li li # /li /ul p # /p p # /p".split()
-    assert " ".join(X.fold(stream)) == "ul li # /li+ /ul p # /p+"
-    merged = X.wrappers_of(["div h1 # /h1 p # /p+ /div", "div p # /p /div", "div p # /p+ table # /table /div"])
-    assert X.slots(merged) == ["div/h1", "div/p", "div/table"]
-    assert "h1?" in merged and "p? " not in merged and "table?" in merged
+def test_repeats_and_groups():
+    stream = "ul li # / li # / li # / / p # / p # /".split()
+    assert X.expression_of(stream) == "ul li+ # / / p+ # /"
+    lessons = "div h2 # / p # / p # / h2 # / p # / h2 # / p # / / footer # /".split()
+    assert X.expression_of(lessons) == "div (+ h2 # / p+ # / ) / footer # /"
+    merged = X.wrapper_of([X.expression_of(s.split()) for s in ("div h1 # / p # / p # / /", "div p # / /", "div p # / table # / /", "div h2 # / p # / h2 # / p # / /")])
+    assert merged == "div (+? h2 # / p # / ) h1? # / p+? # / table? # / /"
+    assert X.Wrapper(merged).paths == ["div/h2", "div/p", "div/h1", "div/p", "div/table"]
+    assert X.write(X.read(merged)) == merged
+
+
+streams = st.recursive(st.just(["#"]), lambda inner: st.tuples(st.sampled_from(["p", "ul", "h2", "div"]), st.lists(inner, max_size=5)).map(lambda t: [t[0], *sum(t[1], []), "/"]), max_leaves=25)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(streams, min_size=1, max_size=4))
+def test_wrappers_take_their_pages(pages):
+    """What is aligned is general enough for each page, by the meaning of regular expressions; every slot has a field of its path."""
+    wrapper = X.wrapper_of([X.expression_of(s) for s in pages])
+    along = X.Wrapper(wrapper)
+    for stream in pages:
+        assert takes(wrapper, stream)
+        path, paths = [], []
+        for t in stream:
+            if t == "#":
+                paths.append("/".join(path))
+            elif t == "/":
+                path.pop()
+            else:
+                path.append(t)
+        assert [along.paths[f] for f in along.fields(stream)] == paths
+
+
+def test_wide_rows():
+    stream = [t for i in range(60) for t in (("p", "ul", "h2", "table")[i * i % 7 % 4], "#", "/")]
+    wide = X.expression_of(stream)
+    assert wide.startswith("(+") and takes(wide, stream) and takes(wide, "ul # / p # /".split())
+    assert -1 not in X.Wrapper(wide).fields(stream)
+
+
+def test_wrappers_decide(spark):
+    """Without its fields in the wrapper a text is not content; a damaged wrapper changes the text."""
+    page = SHELL.format(main="<article><h1>T</h1><p>text {i}</p></article>")
+    df = spark.createDataFrame([(i, "https://a.example/", page.replace("{i}", str(i))) for i in range(4)], "page_id long, url string, html string")
+    parsed = X.parse_pages(df, "page_id", "url", "html")
+    wrappers = X.infer(parsed)
+    texts = lambda w: {r["text"] for r in X.read_along(parsed, w).collect()}
+    assert texts(wrappers) == {f"T\ntext {i}" for i in range(4)}
+    assert texts(wrappers.withColumn("wrapper", F.lit(""))) == {""}
+    assert texts(wrappers.withColumn("wrapper", F.replace("wrapper", F.lit("h1 # /"), F.lit("")))) == {f"text {i}" for i in range(4)}
+
+
+def test_hot_host_is_merged_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(X, "MERGE", 2)
+    kinds = ["<h2>{i}</h2>", "<ul><li>{i}</ul>", "<table><tr><td>{i}</table>", "<pre>{i}</pre>", "<dl><dt>{i}</dl>"]
+    rows = [(i, "https://a.example/", "<article>" + "".join(k.format(i=i) for b, k in enumerate(kinds) if i >> b & 1) + "<p>x</p></article>") for i in range(32)]
+    found = X.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in found} == {i: "\n".join([str(i)] * bin(i).count("1") + ["x"]) for i in range(32)}
+    assert len({r["wrapper"] for r in found}) == 1
+
+
+def test_long_pages(spark):
+    rows = [(1, "u", "<p>" * 50_000 + "end"), (2, "u", "<div>" * 3000 + "deep"), (3, "u", "<article>" + "<p>a<ul><li>b</ul>" * 20_000 + "</article>"), (4, "u", "x" * 2_000_000)]
+    found = {r["page_id"]: r["text"] for r in X.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[1] == "end" and found[2] == "deep" and found[3] == "\n".join(["a", "b"] * 20_000) and len(found[4]) == 2_000_000
 
 
 def test_extract_with_and_without_article(spark):
