@@ -1,17 +1,23 @@
 """Exact deduplication with two passes of Bloom filtering, in DataFrame operations only.
 
-Pass one counts the hashes of all texts in a sparse counting filter of one hash
-function over 16 slots a row; slots with one row can't hold a repeat. The slots
-with more are put into a second filter: 64-bit words with three bits a slot, of
-a size fixed by ``max_words`` (so it may be broadcast at any input size). Pass
-two tests every row against it where the row is read. Rows it rejects are
-unique and pass straight through, unshuffled; only the others are grouped, by
-their SHA-256. A fuller filter lets more rows through to the grouping and
-changes no result.
+Pass one puts the hash of every text into a counting filter: words of 15
+counters of four bits, as many words as rows, filled by tasks and merged by
+adding words. A counter that is two or more, and any word whose counters ran
+over, marks a text as possibly repeated; the marked counters alone, as words of
+15 bits, are the filter of pass two. It grows with the repeated texts and is
+broadcast while its measured size is at most ``filter_bytes``; a larger one
+meets the rows by a shuffle on the word. Rows that pass two rejects are unique
+and go straight through, unshuffled; only the others are grouped, by their
+SHA-256. What the filter lets through in excess changes no result.
+
+Groups of more than one in ``HOT`` of all rows (so fewer than ``HOT`` groups)
+are broadcast to their rows; the rows of the other groups meet theirs by a
+shuffle, so no group gathers in one task.
 
 Defined results: a null text equals an empty one; a null id is smaller than any
-other; of rows that repeat both id and text one stays; an empty table gives no
-rows; columns of the input keep their names and values.
+other; of rows that repeat both id and text one stays, any of them; an empty
+table gives no rows; columns of the input keep their names and values, but for
+those named as a result column, which are replaced.
 """
 
 from __future__ import annotations
@@ -19,64 +25,84 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: 2 ** 20 rows of two longs: the largest filter that is ever broadcast.
-MAX_WORDS = 1 << 20
-_SLOTS_A_ROW = 16
+from materia.llm.common import fresh, shared_table
 
+#: Most bytes of the filter of pass two that are broadcast; its rows are counted first.
+FILTER_BYTES = 64_000_000
+_WORD_BYTES = 48
+COUNTERS = 15
+#: A group of more rows than all rows divided by this is hot.
+HOT = 1000
 
-def _power_of_two(n: int) -> int:
-    return 1 << max(0, n - 1).bit_length()
+ADDED = ["keep_id", "group_size", "kept", "text_sha256"]
 
 
-def _mask(h):
-    """Three of 64 bits, from bits 40 to 57 of a hash."""
-    bits = [F.expr(f"shiftleft(1L, cast((shiftrightunsigned(_h, {k}) & 63) as int))") for k in (40, 46, 52)]
-    return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).alias("_mask")
+def _word(content, words: int):
+    return F.pmod(F.xxhash64(content), F.lit(words))
 
 
-def repeated_filter(hashes: DataFrame, rows: int, max_words: int = MAX_WORDS) -> tuple[DataFrame, int, int]:
-    """The second filter over a column ``_hash``, its number of words, and the slots of pass one."""
-    slots = _power_of_two(max(rows, 1) * _SLOTS_A_ROW)
-    words = min(max_words, max(1024, _power_of_two(rows // 16 + 1)))
-    repeated = hashes.select(F.pmod("_hash", F.lit(slots)).alias("_slot")).groupBy("_slot").count().filter("count > 1")
-    bits = repeated.select(F.xxhash64("_slot").alias("_h")).select(F.pmod("_h", F.lit(words)).alias("_word"), _mask("_h"))
-    return bits.groupBy("_word").agg(F.bit_or("_mask").alias("_bits")), words, slots
+def _counter(content):
+    return F.pmod(F.shiftrightunsigned(F.xxhash64(content, F.lit("counter")), 8), F.lit(COUNTERS)).cast("int")
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
-    """Every row of ``docs`` with keep_id, group_size, kept, text_sha256 (one of ``docs`` so named is replaced)."""
-    added = ["keep_id", "group_size", "kept", "text_sha256"]
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in added))
+def repeated_filter(texts: DataFrame, rows: int) -> DataFrame:
+    """(word, bits): the counters of two or more over a column ``content``, for a filter of ``rows`` words."""
+    placed = texts.select(_word(F.col("content"), max(1, rows)).alias("word"), _counter(F.col("content")).alias("counter"))
+    filled = placed.groupBy("word").agg(F.try_sum(F.expr("shiftleft(1L, 4 * counter)")).alias("counts"), F.count("*").alias("n"))
+    counts = [F.expr(f"shiftrightunsigned(counts, {4 * i}) & {15 if i < COUNTERS - 1 else 127}") for i in range(COUNTERS)]
+    bits = sum((F.when(c >= 2, F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(counts)), F.lit(0))
+    whole = F.col("counts").isNotNull() & (sum(counts, F.lit(0)) == F.col("n"))
+    return filled.select("word", F.when(whole, bits).otherwise(F.lit((1 << COUNTERS) - 1)).alias("bits")).filter("bits != 0")
+
+
+def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """Every row of ``docs`` with keep_id, group_size, kept, text_sha256."""
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ADDED))
     content = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.count()
-    bloom, words, slots = repeated_filter(docs.select(F.xxhash64(content).alias("_hash")), rows, max_words)
-    seen = (
-        docs.withColumn("_h", F.xxhash64(F.pmod(F.xxhash64(content), F.lit(slots))))
-        .withColumn("_word", F.pmod("_h", F.lit(words)))
-        .withColumn("_mask", _mask("_h"))
-        .join(F.broadcast(bloom), "_word", "left")
-        .withColumn("_again", F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False)))
-        .drop("_h", "_word", "_mask", "_bits")
-        .withColumn("text_sha256", F.sha2(content, 256))
-    )
-    single = seen.filter(~F.col("_again")).drop("_again").withColumns(
-        {"keep_id": F.col(id_col), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)}
-    )
-    again = seen.filter("_again").drop("_again")
-    groups = again.groupBy("text_sha256").agg(F.max(id_col).alias("keep_id"), F.count("*").alias("group_size"))
-    same_row = Window.partitionBy("text_sha256", id_col).orderBy(F.lit(0))
-    grouped = (
-        again.withColumn("_copy", F.row_number().over(same_row))
-        .join(groups, "text_sha256")
-        .withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1))
-    )
-    columns = [*docs.columns, *added]
-    return single.select(columns).unionByName(grouped.select(columns))
+    bloom = shared_table(repeated_filter(docs.select(content.alias("content")), rows), "filter")
+    small = bloom.count() * _WORD_BYTES <= filter_bytes
+    sha, word, bits, again, most, size, copies, part, first, second = fresh(docs, "sha", "word", "bits", "again", "most", "size", "copies", "part", "first", "second")
+    bloom = bloom.toDF(word, bits)
+    passed = F.coalesce(F.getbit(bits, _counter(content)) == 1, F.lit(False))
+    seen = docs.withColumn(word, _word(content, max(1, rows))).join(F.broadcast(bloom) if small else bloom, word, "left")
+    seen = seen.withColumn(again, passed).withColumn(sha, F.sha2(content, 256)).drop(word, bits)
+
+    # of each text that repeats: its largest id, its rows, and its rows with that id
+    each = seen.filter(again).groupBy(sha, F.col(id_col).alias(most)).agg(F.count("*").alias(copies))
+    top = F.max(F.struct(most, copies))
+    groups = each.groupBy(sha).agg(top.alias("top"), F.sum(copies).alias(size)).filter(F.col(size) > 1)
+    groups = shared_table(groups.select(sha, f"top.{most}", f"top.{copies}", size), "groups")
+    is_hot = F.col(size) * HOT > rows
+    with_hot = seen.join(F.broadcast(groups.filter(is_hot)), sha, "left")
+    settled = ~F.col(again) | F.col(size).isNotNull()
+    shuffled = with_hot.filter(~settled).drop(most, copies, size).join(groups.filter(~is_hot), sha, "left")
+    every = with_hot.filter(settled).unionByName(shuffled)
+
+    repeats = F.col(size).isNotNull()
+    result = every.withColumns({
+        "keep_id": F.when(repeats, F.col(most)).otherwise(F.col(id_col)), "group_size": F.coalesce(F.col(size), F.lit(1).cast("long")),
+        "kept": ~repeats | F.col(id_col).eqNullSafe(F.col(most)), "text_sha256": F.col(sha),
+    })
+    columns = [*docs.columns, *ADDED]
+    several = repeats & (F.col(copies) > 1) & F.col("kept")
+    if groups.filter(F.col(copies) > 1).isEmpty():
+        return result.select(columns)
+    # rows that repeat the id as well: the first of each partition, and the first of those
+    tied = result.filter(several).withColumn(part, F.spark_partition_id())
+    tied = tied.withColumn(first, F.row_number().over(Window.partitionBy(sha, part).orderBy(F.lit(0))))
+    alone = F.when(F.col(first) > 1, F.struct(part, first))
+    tied = tied.withColumn(second, F.row_number().over(Window.partitionBy(F.col(sha), alone).orderBy(F.lit(0))))
+    tied = tied.withColumn("kept", (F.col(first) == 1) & (F.col(second) == 1))
+    return result.filter(~several).select(columns).unionByName(tied.select(columns))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the copies that ``find_repeats`` drops."""
-    return find_repeats(docs, id_col, text_col).filter("kept").select(docs.columns)
+    """``docs`` without the copies that ``find_repeats`` drops; columns that have the name of a result stay."""
+    clash = [c for c in docs.columns if c.lower() in ADDED]
+    held = dict(zip(clash, fresh(docs, *(f"held_{i}" for i in range(len(clash)))), strict=True))
+    found = find_repeats(docs.withColumnsRenamed(held), held.get(id_col, id_col), held.get(text_col, text_col)).filter("kept")
+    return found.select(*(F.col(held.get(c, c)).alias(c) for c in docs.columns))
 
 
 ORACLE = """

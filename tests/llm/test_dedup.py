@@ -42,12 +42,44 @@ def test_exact_edge_cases(spark):
     assert {r["doc_id"] for r in exact_dedup.drop_repeats(df).collect()} == {5, 9, 7}
 
 
-def test_exact_with_a_full_filter(spark):
-    """One word of the filter lets every row through; the result is the same."""
-    df = spark.range(2000).select(F.col("id").alias("doc_id"), (F.col("id") % 700).cast("string").alias("text"))
-    few = exact_dedup.find_repeats(df, max_words=1).select("doc_id", "keep_id", "group_size", "kept")
-    many = exact_dedup.find_repeats(df).select("doc_id", "keep_id", "group_size", "kept")
-    assert few.exceptAll(many).count() == 0 and many.filter("kept").count() == 700
+def test_exact_by_either_way_of_the_filter(spark, monkeypatch):
+    """A shuffled filter, hot and cold groups, counters that run over: always what grouping the texts gives."""
+    rows = [(i, f"t{i % 700}") for i in range(2000)] + [(5000 + i, "hot") for i in range(900)] + [(9000 + i % 2, "same") for i in range(60)] + [(None, None)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t or "", []).append(-1 if i is None else i)
+    for size in (0, exact_dedup.FILTER_BYTES):
+        for hot in (1, 1000):
+            monkeypatch.setattr(exact_dedup, "HOT", hot)
+            found = exact_dedup.find_repeats(df, filter_bytes=size).collect()
+            assert len(found) == len(rows)
+            for r in found:
+                own = groups[r["text"] or ""]
+                assert (-1 if r["keep_id"] is None else r["keep_id"], r["group_size"]) == (max(own), len(own))
+            kept = [r for r in found if r["kept"]]
+            assert sorted(r["text"] or "" for r in kept) == sorted(groups) and all(r["doc_id"] == r["keep_id"] for r in kept)
+
+
+def test_filter_loses_no_repeat_and_rejects_most(spark):
+    texts = spark.range(20_000).select(F.concat(F.lit("t"), F.when(F.col("id") < 18_000, F.col("id")).otherwise(F.col("id") % 1000).cast("string")).alias("content"))
+    bloom = {r["word"]: r["bits"] for r in exact_dedup.repeated_filter(texts, 20_000).collect()}
+    placed = texts.select("content", exact_dedup._word(F.col("content"), 20_000).alias("w"), exact_dedup._counter(F.col("content")).alias("c")).collect()
+    passed = [r["content"] for r in placed if bloom.get(r["w"], 0) >> r["c"] & 1]
+    repeated = {f"t{i}" for i in range(1000)}
+    assert repeated <= set(passed) and len(passed) - 3000 < 0.15 * 17_000
+
+
+def test_exact_with_clashing_names(spark):
+    names = [*exact_dedup.ADDED, "sha", "word", "bits", "again", "most", "size", "copies", "part", "first", "second", "top", "content", "_word"]
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
+    for n in names:
+        df = df.withColumn(n.upper(), F.lit(n))
+    found = exact_dedup.find_repeats(df)
+    assert sorted((r["doc_id"], r["kept"]) for r in found.collect()) == [(1, False), (2, False), (2, True), (3, True)]
+    kept = exact_dedup.drop_repeats(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
+    assert all(r[n.upper()] == n for r in kept.collect() for n in names)
 
 
 def test_exact_runs_no_python(spark):
