@@ -66,55 +66,92 @@ def test_pack_edge_cases(spark):
     assert packing.pack(df.limit(0), byte_bpe()).count() == 0
 
 
+def check_fair(weights, blocks):
+    """Windows are kept, and no prefix is one block off the shares of the sources that go on."""
+    total, placed = sum(weights.values()), {s: [] for s in weights}
+    last = -1
+    for s, k, slot in mixing.schedule(weights, blocks):
+        assert slot > last and k == len(placed[s])
+        last = slot
+        placed[s].append(slot)
+    for s, w in weights.items():
+        assert len(placed[s]) == blocks[s]
+        for k, slot in enumerate(placed[s]):
+            assert k * total // w <= slot < -(-(k + 1) * total // w)
+            # the most behind is before a block is placed, the most ahead after it
+            assert slot * w < (k + 1) * total and (slot + 1) * w > k * total
+    return placed
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.text("abc", min_size=1, max_size=3), st.integers(1, 60), min_size=1, max_size=9))
-def test_period_is_fair(weights):
-    total = sum(weights.values())
-    seen = dict.fromkeys(weights, 0)
-    for source, k, slot in mixing.period_of(weights):
-        assert seen[source] == k and k * total // weights[source] <= slot < -(-(k + 1) * total // weights[source])
-        seen[source] += 1
-        assert all(abs(seen[s] - (slot + 1) * w / total) < 1 for s, w in weights.items())
-    assert seen == weights
+@given(st.dictionaries(st.text("abc", min_size=1, max_size=3), st.tuples(st.integers(1, 60), st.integers(0, 80)), min_size=1, max_size=9))
+def test_schedule_is_fair(given):
+    check_fair({s: w for s, (w, _) in given.items()}, {s: b for s, (_, b) in given.items()})
+
+
+def test_a_million_slots_stay_near_the_true_shares():
+    shares = {"a": 1e6**0.5, "b": 3e6**0.5, "c": 77e3**0.5, "d": 500**0.5, "e": 1e-2}
+    whole = sum(shares.values())
+    placed = check_fair(mixing.integer_weights(shares), {s: round(1e6 * v / whole) for s, v in shares.items()})
+    assert max(p[-1] for p in placed.values() if p) >= 999_000
+    for s, slots in placed.items():
+        t, k, share = np.array(slots), np.arange(len(slots)), shares[s] / whole
+        assert (share * t - k < 1).all() and ((k + 1) - share * (t + 1) < 1).all()
 
 
 def test_integer_weights():
-    assert sum(mixing.integer_weights({"a": 1, "b": 2, "c": 1e-9}, 1000).values()) in (1000, 1001)
-    assert mixing.integer_weights({}) == {}
+    assert mixing.integer_weights({"a": 1, "b": 2, "c": 0.5}) == {"a": 2, "b": 4, "c": 1} and mixing.integer_weights({}) == {}
+    third = mixing.integer_weights({"a": 1 / 3, "b": 1e-12})
+    assert abs(third["b"] / third["a"] / 3e-12 - 1) < 1e-6
     for bad in ({"a": -1.0}, {"a": 0.0}, {"a": float("nan")}):
         with pytest.raises(ValueError, match="shares"):
             mixing.integer_weights(bad)
 
 
 def brute_mix(rows, weights, block_rows, seed="mix"):
+    """Slot by slot: the released block that is due first."""
     import hashlib
 
-    total, slot = sum(weights.values()), {(s, k): t for s, k, t in mixing.period_of(weights)}
-    out = {}
+    total, own, slot, taken = sum(weights.values()), {}, {}, {}
     for s in weights:
-        own = sorted((hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), i) for i, x in rows if (x or "") == s)
-        for rank, (_, i) in enumerate(own):
-            block = rank // block_rows
-            out[i] = (block, (block // weights[s]) * total + slot[s, block % weights[s]], rank % block_rows)
-    return out
+        own[s] = sorted((hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), i) for i, x in rows if (x or "") == s)
+    blocks, taken, t = {s: -(-len(x) // block_rows) for s, x in own.items()}, dict.fromkeys(own, 0), 0
+    while any(taken[s] < blocks[s] for s in own):
+        ready = [(-(-(taken[s] + 1) * total // w), s) for s, w in weights.items() if taken[s] < blocks[s] and taken[s] * total // w <= t]
+        if ready:
+            s = min(ready)[1]
+            slot[s, taken[s]] = t
+            taken[s] += 1
+        t += 1
+    return {i: (r // block_rows, slot[s, r // block_rows], r % block_rows) for s in own for r, (_, i) in enumerate(own[s])}
 
 
 def test_mix_against_brute_force(spark):
     rows = [(i, "big" if i % 3 else ("small" if i % 2 else None)) for i in range(3000)]
-    df = spark.createDataFrame(rows, "doc_id long, source string").withColumn("MIX_SLOT", F.lit("mine"))
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    names = [*mixing.ADDED, "order", "bucket", "rank", "before", "weight", "at", "block", "s", "w", "_slot", "_order"]
+    for n in names:
+        df = df.withColumn(n.upper(), F.lit(n))
     shares = {"big": 5.0, "small": 2.0, "": 3.0}
-    found = mixing.mix(df, shares, block_rows=8, period=20)
-    wanted = brute_mix(rows, mixing.integer_weights(shares, 20), 8)
+    found = mixing.mix(df, shares, block_rows=8)
+    wanted = brute_mix(rows, mixing.integer_weights(shares), 8)
     assert {r["doc_id"]: (r["mix_block"], r["mix_slot"], r["mix_offset"]) for r in found.collect()} == wanted
     plan = found._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
-    ordered = mixing.in_order(df, shares, block_rows=8, period=20)
-    assert ordered.columns == df.columns and ordered.count() == 3000
+    ordered = mixing.in_order(df, shares, block_rows=8)
+    assert ordered.columns == df.columns and all(r["MIX_SLOT"] == "mix_slot" and r["RANK"] == "rank" for r in ordered.collect())
+    assert [r["doc_id"] for r in ordered.collect()] == sorted(wanted, key=lambda i: wanted[i][1:])
     assert mixing.mix(df.limit(0), {}).count() == 0
-    with pytest.raises(Exception, match="no target share"):
-        mixing.mix(df, {"big": 1.0}).collect()
+    with pytest.raises(ValueError, match="no target share"):
+        mixing.mix(df, {"big": 1.0})
+
+
+def test_mix_nulls_and_repeats(spark):
+    df = spark.createDataFrame([(None, "a"), (None, "a"), (1, "a"), (1, "a"), (2, None)], "doc_id long, source string")
+    found = mixing.mix(df, mixing.tempered_shares(df)).collect()
+    assert sorted(r["mix_block"] for r in found if r["source"]) == [0, 1, 2, 3] and len({r["mix_slot"] for r in found}) == 5
 
 
 def test_tempered(spark):
     df = spark.createDataFrame([(i, "a" if i else None) for i in range(5)], "doc_id long, source string")
-    assert mixing.tempered_shares(df) == {"a": 2.0, "": 1.0}
+    assert mixing.tempered_shares(df) == {"a": 2048, "": 1024}
