@@ -8,6 +8,10 @@ and the rest is placed. At the end of the partition what is open is merged into
 full windows and one leftover, and the leftovers of neighbouring partitions are
 merged in groups of bounded size.
 
+Sequence numbers follow the partitions, and in a partition the order in which
+windows are opened. Ties: of windows that fit equally well, and of equally full
+ones, the one opened first is taken.
+
 Defined results: a null or empty text is its end token alone; a null id keeps
 its pieces under a null id; repeated rows are packed once each; an empty table
 gives no pieces; other columns are ignored, whatever their names.
@@ -22,11 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from materia.llm.common import shared_table, small_batches
+from materia.llm.common import fresh, shared_table, small_batches
 
 WINDOW = 2048
 END_ID = 1
@@ -61,8 +66,8 @@ class Encoder:
 
     The ids are those of the byte-level BPE file ``path``. Its vocabulary, where
     an id is a merge rank, also drives the faster rank encoder, which takes the
-    texts of common characters (nearly all); the others go to ``tokenizers``.
-    Both give the same ids; the tests compare them.
+    texts of common characters (nearly all) without a special token; the others
+    go to ``tokenizers``. Both give the same ids; the tests compare them.
     """
 
     def __init__(self, path: str) -> None:
@@ -74,7 +79,6 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
         special = {t.content for t in self.exact.get_added_tokens_decoder().values()}
         # the file writes each byte as a printable character
         printable = [c for c in range(256) if chr(c) in pre_tokenizers.ByteLevel.alphabet()]
@@ -82,7 +86,7 @@ class Encoder:
         of_char |= {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in set(printable))}
         ranks = {bytes(map(of_char.__getitem__, word)): i for word, i in self.exact.get_vocab().items() if word not in special}
         self.ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.unusual = re.compile(_UNUSUAL).search
+        self.unusual = re.compile("|".join([_UNUSUAL, *map(re.escape, sorted(special))])).search
 
     def encode(self, text: str) -> bytes:
         if self.unusual(text):
@@ -251,6 +255,21 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     return merge_leftovers(place(docs, tokenizer, id_col, text_col, window, open_windows, min_piece, end_id), window)
 
 
+def in_stored_order(docs: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Rows of a table read from files, partitioned and sorted as they were written: by file name, then place in the file.
+
+    Spark reads files in any order; a table whose order means something (as ``mixing.in_order`` writes it) is put
+    back in order here. A table that isn't read from files comes out as it is.
+    """
+    file, row = fresh(docs, "file", "row")
+    try:
+        placed = docs.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
+    except AnalysisException:
+        return docs
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // rows))
+    return placed.repartitionByRange(parts, file, row).sortWithinPartitions(file, row).drop(file, row)
+
+
 def digests(pieces: DataFrame) -> DataFrame:
     """``ids`` replaced by its unsigned crc32."""
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")

@@ -17,16 +17,24 @@ def encoder():
     return packing.Encoder(byte_bpe())
 
 
+@pytest.fixture(scope="module")
+def plain():
+    """The tokenizer file as it is."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(byte_bpe())
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.text(max_size=80))
-def test_ids_are_the_tokenizers(encoder, text):
-    wanted = encoder.exact.encode(text, add_special_tokens=False).ids
+@given(st.one_of(st.text(max_size=80), st.lists(st.sampled_from(["<|endoftext|>", " ", "a", "<|", "|>", "\n", "é", "endoftext", "1"]), max_size=9).map("".join)))
+def test_ids_are_the_tokenizers(encoder, plain, text):
+    wanted = plain.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(encoder.encode(text), "<u4").tolist() == wanted
 
 
-def test_ids_of_documents(encoder, spark, sf_dir):
+def test_ids_of_documents(encoder, plain, spark, sf_dir):
     for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect():
-        assert np.frombuffer(encoder.encode(r["text"]), "<u4").tolist() == encoder.exact.encode(r["text"], add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(r["text"]), "<u4").tolist() == plain.encode(r["text"], add_special_tokens=False).ids
 
 
 def check(pieces, window=2048):
@@ -43,19 +51,93 @@ def check(pieces, window=2048):
     return by_doc, by_window
 
 
-def test_pack_documents(spark, sf_dir, encoder):
+def test_pack_documents(spark, sf_dir, plain):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     pieces = packing.pack(docs.repartition(7, "doc_id"), byte_bpe()).collect()
     by_doc, by_window = check(pieces)
     for r in docs.collect():
         parts = sorted(by_doc[r["doc_id"]], key=lambda p: p["start"])
         ids = np.frombuffer(b"".join(bytes(p["ids"]) for p in parts), "<u4").tolist()
-        assert ids == [*encoder.exact.encode(r["text"], add_special_tokens=False).ids, 1]
+        assert ids == [*plain.encode(r["text"], add_special_tokens=False).ids, 1]
         assert all(p["doc_tokens"] == len(ids) for p in parts)
     used = sum(p["length"] for p in pieces)
     assert used / (2048 * len(by_window)) > 0.97
 
 
+def brute_pack(sizes, window, limit, least):
+    """(document, start, length, number of the window, offset) before leftovers are merged, by the stated rules."""
+    opened, done, count = [], [], 0
+    for doc, total in enumerate(sizes):
+        start = 0
+        while start < total:
+            rest = total - start
+            fits = [w for w in opened if window - sum(n for *_, n in w[1]) >= rest]
+            if rest >= window:
+                done.append((count, [(doc, start, window)]))
+                count, start = count + 1, start + window
+            elif fits or len(opened) < limit:
+                if fits:
+                    home = max(fits, key=lambda w: (sum(n for *_, n in w[1]), -w[0]))
+                else:
+                    home = (count, [])
+                    count += 1
+                    opened.append(home)
+                home[1].append((doc, start, rest))
+                start = total
+                if sum(n for *_, n in home[1]) == window:
+                    opened.remove(home)
+                    done.append(home)
+            else:
+                full = max(opened, key=lambda w: (sum(n for *_, n in w[1]), -w[0]))
+                free = window - sum(n for *_, n in full[1])
+                if free >= least and rest - free >= least:
+                    full[1].append((doc, start, free))
+                    start += free
+                opened.remove(full)
+                done.append(full)
+    return done, opened
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 90), max_size=60), st.integers(1, 4), st.integers(1, 6))
+def test_placing_against_brute_force(sizes, limit, least):
+    part = packing._Partition(0, 32, limit, least)
+    for doc, n in enumerate(sizes):
+        part.add(doc, memoryview(bytes(4 * n)))
+    emitted, opened = brute_pack(sizes, 32, limit, least)
+    wanted = {(d, a, n, w, sum(x for *_, x in row[:i])) for w, row in emitted for i, (d, a, n) in enumerate(row)}
+    assert {(d, a, n, w, o) for d, a, n, _, _, w, o, _ in part.rows} == wanted
+    assert [(w, [(d, a, n) for d, a, n, *_ in pieces]) for _, w, pieces in part.open] == opened
+
+
+def test_small_windows(spark):
+    """A window shorter than the least piece: everything still lies in exactly one piece."""
+    df = spark.createDataFrame([(i, "word " * i) for i in range(40)], "doc_id long, text string")
+    pieces = packing.pack(df, byte_bpe(), window=8).collect()
+    by_doc, _ = check(pieces, 8)
+    assert all(sum(p["length"] for p in parts) == parts[0]["doc_tokens"] for parts in by_doc.values()) and len(by_doc) == 40
+
+
+def test_stored_order(spark, tmp_path):
+    """A mix written and read in other splits is packed in the order of its schedule."""
+    df = spark.createDataFrame([(i, "a b c " * (1 + i % 9), "big" if i % 3 else "small") for i in range(3000)], "doc_id long, text string, source string")
+    shares = {"big": 1, "small": 1}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        mixing.in_order(df, shares).write.parquet(f"file://{tmp_path}/mixed")
+        stored = spark.read.parquet(f"file://{tmp_path}/mixed")
+        wanted = [r["doc_id"] for r in mixing.in_order(df, shares).collect()]
+        assert [r["doc_id"] for r in packing.in_stored_order(stored).collect()] == wanted
+        pieces = packing.pack(packing.in_stored_order(stored), byte_bpe(), window=64).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    # while both sources last, any prefix of the windows holds nearly equal parts of both
+    ordered = [p["doc_id"] for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"]))][:1500]
+    for n in range(100, 1500, 100):
+        assert abs(sum(i % 3 == 0 for i in ordered[:n]) - n / 2) < 0.1 * n + 32
+    assert packing.in_stored_order(df).count() == 3000
+
+
 def test_pack_edge_cases(spark):
     rows = [(1, None), (2, ""), (None, "x"), (3, "word " * 30_000), (3, "word " * 30_000), (4, "日本語 " * 50)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit(1))
