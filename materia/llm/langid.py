@@ -3,20 +3,28 @@
 Texts become hashed counts of 1- to 3-grams of lower-case letters (anything
 else is a space), damped by a logarithm, weighted by inverse document frequency
 and normalised. Each language has a few centroids from spherical k-means. A
-text gets the language of the centroid of largest cosine, and is rejected if
-that cosine is far below what texts of that language have.
+text gets the language of the centroid of largest cosine.
 
-The model is fitted on at most about ``sample`` labelled texts a language; only
-their n-gram vectors reach the driver.
+It is rejected if that cosine is below the threshold of its length. Thresholds
+are learned: centroids of one half of the sample are compared with the texts of
+the other half, once with all languages and once without the text's own, which
+shows what texts of an unknown language reach. Where what nearly all known
+texts reach is above what nearly all unknown ones do, the threshold lies
+halfway between; elsewhere known texts are kept.
+
+The model is fitted on at most about ``sample`` labelled texts a language and
+``ROWS`` in all; only their n-gram vectors reach the driver.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0
-and rejected; so is everything if no labelled text exists to learn from;
-repeated rows get the same result; an empty table gives no rows; columns of
-the input keep their names and values, unless named as a result column.
+and rejected; so is everything if no labelled text exists to learn from; of
+equal cosines the language of the smaller name wins; repeated rows get the same
+result; an empty table gives no rows; columns of the input keep their names and
+values, unless named as a result column.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,21 +36,32 @@ from materia.llm.common import add_from_text, hash_share
 
 DIMS = 1 << 14
 SAMPLE = 600
+#: Labelled texts of all languages together that the model is fitted on, about.
+ROWS = 6000
 CLUSTERS = 3
-#: A text is rejected below this part of the lowest cosine in the sample.
-REJECT = 0.5
+#: Numbers of n-grams that part short texts from longer ones; each range has its threshold.
+LENGTHS = (60, 200, 1000, 5000)
+#: Known texts that may be rejected, and unknown ones that may pass, where the two can be told apart.
+LOSS, LEAK = 0.005, 0.1
+#: A range with fewer texts in the sample has no quantiles; half the least cosine of its known texts (of all, if it has none) is its threshold.
+LEAST_TEXTS = 50
 UNKNOWN = "und"
 _PART = 1 << 18
 
 
+@functools.cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
 class Ngrams:
     """Hashed n-gram counts of a text, whole, in parts of bounded size."""
 
     def __init__(self, dims: int = DIMS) -> None:
         self.dims = dims
         self.shift = np.uint32(32 - int(dims).bit_length() + 1)
-        letters = np.frombuffer("".join(map(chr, [*range(0xD800), *[32] * 0x800, *range(0xE000, 0x10000)])).encode("utf-32-le"), np.uint32)
-        self.letter = np.fromiter((chr(c).isalpha() for c in letters.tolist()), bool, 0x10000)
+        self.letter = _letters()
 
     def counts(self, text: str | None) -> np.ndarray | None:
         """None if there is no letter."""
@@ -50,8 +69,7 @@ class Ngrams:
         total, any_letter = np.zeros(self.dims, np.int64), False
         for at in range(0, len(codes), _PART):
             part = codes[max(0, at - 2) : at + _PART]
-            wide = part >= 0x10000
-            keep = self.letter[np.where(wide, 32, part)] | wide
+            keep = self.letter[part]
             any_letter = any_letter or bool(keep.any())
             u = np.where(keep, part, 32).astype(np.uint32)
             one = u * np.uint32(2654435761)
@@ -69,7 +87,7 @@ class Model:
     owner: np.ndarray  # language of each centroid
     centroids: np.ndarray  # (centroids, dims)
     weight: np.ndarray  # inverse document frequencies
-    least: np.ndarray  # cosine below which a language rejects
+    least: np.ndarray  # cosine below which a text is rejected, by range of length
 
 
 def _normal(rows: np.ndarray) -> np.ndarray:
@@ -88,13 +106,42 @@ def spherical_kmeans(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def thresholds(x: np.ndarray, size: np.ndarray, owner: np.ndarray, clusters: int) -> np.ndarray:
+    """The least cosine of each range of lengths, from halves of the sample held against each other."""
+    half = np.arange(len(x)) % 2 == 0
+    known, unknown = np.zeros(len(x)), np.full(len(x), -1.0)
+    for part in (half, ~half):
+        centres = {o: spherical_kmeans(x[part & (owner == o)], clusters) for o in np.unique(owner[part])}
+        if not centres:
+            continue
+        cosine = {o: (x[~part] @ c.T).max(axis=1) for o, c in centres.items()}
+        known[~part] = np.max(list(cosine.values()), axis=0)
+        for o in np.unique(owner[~part]):
+            others = [c[owner[~part] == o] for q, c in cosine.items() if q != o]
+            if others:
+                unknown[np.flatnonzero(~part)[owner[~part] == o]] = np.max(others, axis=0)
+    ranges = np.searchsorted(LENGTHS, size, side="right")
+    least = np.zeros(len(LENGTHS) + 1)
+    for r in range(len(least)):
+        mine, other = known[ranges == r], unknown[(ranges == r) & (unknown >= 0)]
+        if len(mine) < LEAST_TEXTS:
+            least[r] = 0.5 * float(min(mine, default=known.min() if len(known) else 0.0))
+            continue
+        keeps = float(np.quantile(mine, LOSS))
+        passes = float(np.quantile(other, 1 - LEAK)) if len(other) else 0.0
+        least[r] = (keeps + passes) / 2 if 0 < passes < keeps else keeps
+    # a short text is never held to more than a longer one
+    return np.minimum.accumulate(least[::-1])[::-1]
+
+
 def fit(docs: DataFrame, fold=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE,
-        clusters: int = CLUSTERS, dims: int = DIMS, reject: float = REJECT) -> Model:
+        clusters: int = CLUSTERS, dims: int = DIMS) -> Model:
     """Learn from rows with a language (and in ``fold``, a condition, if given)."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.filter(fold) if fold is not None else known
     known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    sample = min(sample, max(2, ROWS // max(1, len(counts))))
     keep = F.lit(False)
     for lang, n in counts.items():
         keep |= (F.col("lang") == lang) & hash_share("id", "lang", min(1.0, sample / n))
@@ -104,29 +151,29 @@ def fit(docs: DataFrame, fold=None, id_col: str = "doc_id", text_col: str = "tex
 
         def run(texts):
             found = [grams.counts(t) for t in texts]
-            where = [np.nonzero(c)[0] if c is not None else [] for c in found]
-            return [pa.array(where, pa.list_(pa.int32())), pa.array([c[w] if c is not None else [] for c, w in zip(found, where, strict=True)], pa.list_(pa.int64()))]
+            packed = [None if c is None else (np.flatnonzero(c).astype("<i4"), c) for c in found]
+            at = [None if p is None else p[0].tobytes() for p in packed]
+            n = [None if p is None else p[1][p[0]].astype("<i4").tobytes() for p in packed]
+            return [pa.array(at, pa.binary()), pa.array(n, pa.binary())]
 
         return run
 
-    rows = add_from_text(known.filter(keep), "text", make, "at array<int>, n array<long>").select("lang", "at", "n").filter("size(at) > 0").collect()
-    seen = np.zeros(dims)
-    for r in rows:
-        seen[r["at"]] += 1
-    weight = (np.log((1 + len(rows)) / (1 + seen)) + 1).astype(np.float32)
+    rows = add_from_text(known.filter(keep), "text", make, "at binary, n binary").select("id", "lang", "at", "n").filter("at is not null").collect()
+    rows = sorted(rows, key=lambda r: (r["lang"], str(r["id"])))
     languages = sorted({r["lang"] for r in rows})
-    owner, centroids, least = [], [], []
-    for i, lang in enumerate(languages):
-        own = [r for r in rows if r["lang"] == lang]
-        x = np.zeros((len(own), dims), np.float32)
-        for k, r in enumerate(own):
-            x[k, r["at"]] = np.log1p(r["n"]) * weight[r["at"]]
-        x = _normal(x)
-        c = spherical_kmeans(x, clusters)
-        owner += [i] * len(c)
-        centroids.append(c)
-        least.append(reject * float((x @ c.T).max(axis=1).min()))
-    return Model(languages, np.array(owner, int), np.concatenate(centroids) if centroids else np.zeros((0, dims), np.float32), weight, np.array(least))
+    owner = np.array([languages.index(r["lang"]) for r in rows], int)
+    x = np.zeros((len(rows), dims), np.float32)
+    size = np.zeros(len(rows), np.int64)
+    for k, r in enumerate(rows):
+        n = np.frombuffer(r["n"], "<i4")
+        x[k, np.frombuffer(r["at"], "<i4")] = np.log1p(n)
+        size[k] = n.sum()
+    weight = (np.log((1 + len(rows)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
+    x *= weight
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    centroids = [spherical_kmeans(x[owner == i], clusters) for i in range(len(languages))]
+    of = np.repeat(np.arange(len(languages)), [len(c) for c in centroids])
+    return Model(languages, of, np.concatenate(centroids) if centroids else np.zeros((0, dims), np.float32), weight, thresholds(x, size, owner, clusters))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -146,9 +193,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 x = np.log1p(np.array([found[i] for i in have], np.float32)) * model.weight
                 cosine = (x @ sides) / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
                 best = np.argmax(cosine, axis=1)
-                for i, b, c in zip(have, best, cosine.max(axis=1), strict=True):
-                    lang = model.owner[b]
-                    pred[at + i], score[at + i], out[at + i] = model.languages[lang], min(1.0, max(0.0, float(c))), c < model.least[lang]
+                ranges = np.searchsorted(LENGTHS, [found[i].sum() for i in have], side="right")
+                for i, b, c, r in zip(have, best, cosine.max(axis=1), ranges, strict=True):
+                    pred[at + i], score[at + i], out[at + i] = model.languages[model.owner[b]], min(1.0, max(0.0, float(c))), c < model.least[r]
             return [pa.array(pred), pa.array(score), pa.array(out)]
 
         return run

@@ -26,21 +26,58 @@ def test_language_held_out(spark):
 
 def test_language_edge_cases(spark):
     rows = [(i, f"der die das und nicht {i % 7} schön über", "de") for i in range(40)] + [(100 + i, f"the and of which {i % 5} with then", "en") for i in range(40)]
-    rows += [(200, None, None), (201, "", "de"), (202, "12 34 !?", None), (203, "本日は晴天なり", None), (204, "the and " * 200_000, None), (None, "die und", "de")]
+    rows += [(200, None, None), (201, "", "de"), (202, "12 34 !?", None), (203, "本日は晴天なり", None), (205, "😀😀 🎉", "de"), (204, "the and " * 200_000, None), (None, "die und", "de")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("LANG_SCORE", F.lit("mine"))
     model = langid.fit(df)
     found = {r["doc_id"]: r for r in langid.identify(df, model).collect()}
     assert found[0]["lang_pred"] == "de" and found[100]["lang_pred"] == found[204]["lang_pred"] == "en"
-    assert {(found[i]["lang_pred"], found[i]["lang_score"], found[i]["lang_rejected"]) for i in (200, 201, 202)} == {("und", 0.0, True)}
+    assert {(found[i]["lang_pred"], found[i]["lang_score"], found[i]["lang_rejected"]) for i in (200, 201, 202, 205)} == {("und", 0.0, True)}
     assert found[203]["lang_rejected"] and not found[0]["lang_rejected"]
     kept = langid.keep_known(df)
-    assert kept.columns == df.columns and {200, 201, 202, 203}.isdisjoint(r["doc_id"] for r in kept.collect())
+    assert kept.columns == df.columns and {200, 201, 202, 203, 205}.isdisjoint(r["doc_id"] for r in kept.collect())
     empty = df.limit(0)
     assert langid.identify(empty, langid.fit(empty)).count() == 0
     unlearned = langid.identify(df, langid.fit(empty)).collect()
     assert {r["lang_pred"] for r in unlearned} == {"und"}
 
 
+def test_language_by_definition(spark):
+    """n-grams, weights and cosines one by one give what ``identify`` does."""
+    import math
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    model = langid.fit(docs, sample=20, dims=1 << 10)
+    for r in langid.identify(docs, model).collect():
+        codes = [ord(c) if c.isalpha() else 32 for c in r["text"].lower()]
+        seen, shift = {}, 32 - 10
+        for i, a in enumerate(codes):
+            h = a * 2654435761 % 2**32
+            hashes = [h]
+            for b, odd, mul in zip(codes[i + 1 : i + 3], (2246822519, 668265263), (3266489917, 374761393), strict=False):
+                h = (h ^ b * odd % 2**32) * mul % 2**32
+                hashes.append(h)
+            for h in hashes:
+                seen[h >> shift] = seen.get(h >> shift, 0) + 1
+        x = {k: math.log1p(n) * float(model.weight[k]) for k, n in seen.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        cosines = [sum(v * float(c[k]) for k, v in x.items()) / norm for c in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert r["lang_score"] == pytest.approx(cosines[best], abs=1e-4)
+        assert r["lang_pred"] == model.languages[model.owner[best]] or sorted(cosines)[-1] - sorted(cosines)[-2] < 1e-4
+
+
+def test_unknown_language_is_rejected(spark):
+    """With a language left out of the table to learn from, its texts go; texts of the others stay, short ones too."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    for gone in ("fr", "de"):
+        model = langid.fit(docs, (F.col("lang") != gone) & (crc_mod("doc_id", 4) != 2))
+        found = langid.identify(docs.filter(crc_mod("doc_id", 4) == 2), model).withColumn("size", F.length("text")).collect()
+        own = [r["lang_rejected"] for r in found if r["lang"] == gone and r["size"] > 100]
+        others = [r["lang_rejected"] for r in found if r["lang"] != gone]
+        short = [r["lang_rejected"] for r in found if r["lang"] != gone and r["size"] < 100]
+        assert np.mean(own) > 0.85 and np.mean(others) < 0.01 and np.mean(short) < 0.05
+
+
 def test_ngrams_in_parts(monkeypatch):
     grams = langid.Ngrams()
     text = "".join(random.Random(1).choices("abc dé1", k=999))
