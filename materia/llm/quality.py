@@ -125,14 +125,17 @@ def fit(docs: DataFrame, labels: DataFrame, fold, label: str = "quality", id_col
     def make():
         def run(texts):
             found = [describe(t) for t in texts]
-            return [pa.array([list(c) for c in column], pa.list_(kind)) for column, kind in zip(zip(*found, strict=True), (pa.float64(), pa.int64(), pa.float64()), strict=True)]
+            kinds = ("<f8", "<u2", "<f4")
+            return [pa.array([c.astype(kind).tobytes() for c in column], pa.binary()) for column, kind in zip(zip(*found, strict=True), kinds, strict=True)]
 
         return run
 
+    # hashed inputs as bytes: at most 6 for each of WORD_DIMS places of a text, however long it is
     rows = labelled_sample(docs.select(id_col, text_col), labels, label, fold, {0: sample, 1: sample}, id_col)
-    rows = add_from_text(rows, text_col, make, "stats array<double>, at array<long>, value array<double>")
+    rows = add_from_text(rows, text_col, make, "stats binary, at binary, value binary")
     rows = sorted(rows.select(id_col, "_y", "stats", "at", "value").collect(), key=lambda r: r[0])
-    return train([(np.array(r["stats"]), np.array(r["at"], int), np.array(r["value"])) for r in rows], np.array([r["_y"] for r in rows]))
+    inputs = [(np.frombuffer(r["stats"], "<f8"), np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(np.float64)) for r in rows]
+    return train(inputs, np.array([r["_y"] for r in rows]))
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:

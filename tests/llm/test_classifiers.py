@@ -107,6 +107,36 @@ def test_factorisation_by_definition():
         assert z == pytest.approx(m.bias + m.weight[at] @ x + pairs)
 
 
+def test_quality_scores_by_definition(spark):
+    """Statistics, ranges, hashed words and all pairs one by one give the score of each document."""
+    import zlib
+    from collections import Counter
+
+    rng = np.random.default_rng(4)
+    size = quality.WORD_DIMS + len(quality.STATISTICS) * quality.RANGES
+    edges = np.sort(rng.normal(size=(len(quality.STATISTICS), quality.RANGES - 1)), axis=1)
+    m = quality.Machine(edges, 0.2, rng.normal(size=size) / 4, rng.normal(size=(size, quality.RANK)) / 4)
+    rows = [(1, "One two two, three!\nOne two | x"), (2, ""), (3, None), (4, "ÉÉ 99 %% a.b\n\na.b"), (5, "a " * 40)]
+    for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string"), m).collect():
+        text = r["text"] or ""
+        raw, words, lines = text.encode(), text.split(), text.split("\n")
+        n, counts = max(1, len(words)), Counter(words)
+        letters = max(1, sum(c.isascii() and c.isalpha() for c in text))
+        share = lambda marks: sum(text.count(c) for c in marks) / max(1, len(raw))  # noqa: B023, E731
+        stats = [np.log1p(len(raw)), np.log1p(len(words)), len(text) / n, len(counts) / n, max(counts.values(), default=0) / n, sum("A" <= c <= "Z" for c in text) / letters,
+                 share("0123456789"), share("#$%&*@^~"), share("|"), share("!,.:;?"), np.log1p(len(lines)), np.log1p(len(text) / len(lines)), 1 - len(set(lines)) / len(lines),
+                 sum(b >= 192 for b in raw) / max(1, len(raw)), len(set(zip(words, words[1:], strict=False))) / max(1, n - 1)]
+        bag = Counter()
+        for w, c in counts.items():
+            bag[zlib.crc32(w.encode()) % quality.WORD_DIMS] += c
+        norm = max(1e-12, float(np.sqrt(sum(np.log1p(c) ** 2 for c in bag.values()))))
+        x = [(k, np.log1p(c) / norm) for k, c in bag.items()]
+        x += [(quality.WORD_DIMS + i * quality.RANGES + sum(s >= e for e in edges[i]), 0.5) for i, s in enumerate(stats)]
+        z = m.bias + sum(m.weight[k] * v for k, v in x)
+        z += sum(m.vector[a] @ m.vector[b] * u * v for i, (a, u) in enumerate(x) for b, v in x[:i])
+        assert r["quality_score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
 def test_quality_edge_cases(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 300_000), (4, "a b"), (4, "a b"), (None, "\n\n")], "doc_id long, text string").withColumn("quality_score", F.lit("mine"))
     labels = spark.createDataFrame([(1, 1), (2, None), (4, 0), (None, 1)], "doc_id long, quality int")
@@ -229,7 +259,7 @@ def test_viterbi_against_all_paths():
     import itertools
 
     rng = np.random.default_rng(8)
-    _, t = pii.train()
+    t = pii.train().steps
     t = np.where(t < -1e8, t, rng.normal(size=t.shape))
     emissions = [rng.normal(size=(n, len(pii.TAGS))) for n in (1, 2, 3, 4, 4, 1)]
     for e, tags in zip(emissions, pii.viterbi(emissions, t), strict=True):
@@ -238,6 +268,68 @@ def test_viterbi_against_all_paths():
         assert tuple(tags) == best
 
 
+def test_parted_sequences_decode_alike():
+    """Parting at words that are surely outside changes no tag, on random fields and on texts."""
+    rng = np.random.default_rng(9)
+    mask = pii.train().steps < -1e8
+    parted = 0
+    for trial in range(300):
+        t = np.where(mask, -1e9, rng.normal(scale=rng.choice([0.3, 1, 3]), size=mask.shape))
+        emissions = [rng.normal(size=(rng.integers(0, 30), len(pii.TAGS))) * 3 + [rng.choice([0, 4, 8]), 0, 0, 0, 0] for _ in range(4)]
+        for e, a, b in zip(emissions, pii.decode(emissions, t), pii.viterbi(emissions, t), strict=True):
+            assert (a == b).all(), trial
+            parted += pii.surely_outside(e, t).sum() if len(e) else 0
+    assert parted > 1000
+
+
+def test_reader_by_definition(spark):
+    field = pii.train()
+    reader = pii.Reader(field)
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(80).collect():
+        words = pii._TOKEN.findall(r["text"])
+        assert np.allclose(reader.emissions(words), field.emissions(words))
+
+
+def held_out_secrets(rng):
+    """(text, wanted span) in forms and words that the training table lacks."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    some = lambda pool, n: "".join(rng.choice(pool) for _ in range(n))
+    before = ["wir schreiben hier etwas und dann", "The deployment notes say that", "je pense que", "config of the service follows"]
+    for _ in range(40):
+        secrets = [
+            ("password=", some(letters, rng.randrange(9, 20))), ("api_key=", some(letters, 24)), ("", "AKIA" + some(letters.upper(), 16)),
+            ("DB_PASSWORD=", some(letters + "0123456789", 14)), ('my_token = "', some("0123456789abcdef", 32)), ("api_key:\n", some(letters + letters.upper() + "0123456789", 28)),
+            ("secret: ", some(letters + "0123456789", 22)), ("Bearer ", some(letters + letters.upper() + "0123456789", 40)), ("passwd: ", some(letters + letters.upper() + "0123456789", 11)),
+            ("client_secret='", some(letters + "0123456789", 30)),
+        ]
+        ids = [("SSN ", f"{some('0123456789', 3)}-{some('0123456789', 2)}-{some('0123456789', 4)}"), ("DNI ", some("0123456789", 8) + some("TRWAGMY", 1)),
+               ("number ", f"{some('0123456789', 3)}-{some('0123456789', 2)}-{some('0123456789', 4)}")]
+        for kind, cases in (("secret", secrets), ("natid", ids)):
+            for cue, value in cases:
+                text = f"{rng.choice(before)} {cue}{value} "
+                at = len(text) - len(value) - 1
+                yield text + "and nothing else happened", (at, at + len(value), kind)
+
+
+def test_recall_and_precision_of_learned_spans(spark):
+    reader = pii.Reader(pii.train())
+    cases = list(held_out_secrets(random.Random(12)))
+    found = pii.learned_spans([t for t, _ in cases], reader)
+    for kind in ("secret", "natid"):
+        own = [(w, f) for (_, w), f in zip(cases, found, strict=True) if w[2] == kind]
+        assert np.mean([w in f for w, f in own]) >= 0.9
+    every, right = sum(map(len, found)), sum(w in f for (_, w), f in zip(cases, found, strict=True))
+    assert right / every >= 0.9
+    quiet = ["the password is wrong", "she forgot the secret password of the house", "token by token and key by key", "password: required", "Keys and tokens", "a long internationalisation story",
+             "on 2024-05-06 at 12:30 we saw 1234 birds", "INTERNATIONALISATION MATTERS", "version 10.2.3 build 20240506", "https://www.example.com/a/b?c=d"]
+    assert not any(pii.learned_spans(quiet, reader))
+    # clean documents: what is found there holds a secret as the documents have them
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    free = lambda t, a, b: not any(a < d and c < b for c, d, _ in pii.base_spans(t))
+    spans = [t[a:b] for t, f in zip(texts, pii.learned_spans(texts, reader), strict=True) for a, b, _ in f if free(t, a, b)]
+    assert len(spans) >= 13 and np.mean([bool(re.fullmatch("[0-9a-f]{40}", s)) for s in spans]) >= 0.9
+
+
 def test_learned_spans_and_edges(spark):
     said = 'und password=b7db7aa4a5fcc78305 enes. token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" x. ssn 123-45-6789 for it. mail a.12@mail3.example.com now'
     rows = [(1, said), (1, said), (2, None), (3, ""), (4, "7" * 100_000), (5, "plain words only"), (None, "call +1 (234) 567-8900")]
