@@ -9,7 +9,9 @@ references against what is read back from that table.
 Defined results: a null document is an empty one (no items), a null text an
 empty payload of one row of padding; equal payloads share a digest and all
 that is computed from it; a reference without a stored payload resolves to
-nulls; repeated rows come out repeated; an empty table gives no rows.
+nulls; a caption goes to all references of its figure that have none yet, a
+caption outside a figure to the last reference; repeated rows come out
+repeated; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from materia.llm.common import add_from_text, shared_table, small_batches
+from materia.llm.common import add_from_text, fresh, shared_table, small_batches
 
 WIDTH = 576
 PADDING = 255
+#: A digest of more references than all divided by this is hot.
+HOT = 1000
 _MAGIC = b"\x89PNG\r\n\x1a\n"
 ITEMS = "array<struct<position: int, kind: string, text: string, digest: string, caption: string>>"
 
@@ -193,10 +197,21 @@ def sequences(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def resolve(pages: DataFrame, resolved: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each media reference: columns ``keep`` of its document, position, caption, and what its digest resolves to."""
-    refs = pages.select(*keep, F.explode(F.filter("items", lambda x: x.kind == "media")).alias("_ref"))
-    refs = refs.select(*keep, F.col("_ref.position").alias("position"), F.col("_ref.caption").alias("caption"), F.col("_ref.digest").alias("digest"))
-    return refs.join(resolved, "digest", "left")
+    """A row for each media reference: columns ``keep`` of its document, position, caption, and what its digest resolves to.
+
+    A digest of more than one in ``HOT`` of all references (so fewer than ``HOT`` digests) is broadcast to them; the
+    other references meet theirs by a shuffle, so no task gets all copies of one payload.
+    """
+    (ref,) = fresh(pages, "ref")
+    refs = pages.select(*keep, F.explode(F.filter("items", lambda x: x.kind == "media")).alias(ref))
+    refs = refs.select(*keep, F.col(f"{ref}.position").alias("position"), F.col(f"{ref}.caption").alias("caption"), F.col(f"{ref}.digest").alias("digest"))
+    refs, resolved = shared_table(refs, "refs"), shared_table(resolved, "resolved")
+    rows = refs.count()
+    sizes = refs.filter("digest is not null").groupBy("digest").agg(F.count("*").alias("n"))
+    hot = shared_table(sizes.filter(F.col("n") * HOT > rows).select("digest"), "hot")
+    known = resolved.join(F.broadcast(hot), "digest", "left_semi")
+    warm = refs.join(F.broadcast(hot), "digest", "left_semi").join(F.broadcast(known), "digest", "left")
+    return warm.unionByName(refs.join(F.broadcast(hot), "digest", "left_anti").join(resolved, "digest", "left"))
 
 
 def text_and_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

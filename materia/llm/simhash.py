@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from materia.llm.common import shared_table, small_batches
+from materia.llm.common import fresh, shared_table, small_batches
 
 SHINGLE = 3
 SEED = 42
@@ -194,7 +194,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Documents with a null id are in no group and stay.
     """
     gone = near_duplicates(docs, id_col, text_col).filter(F.col("component_id") != F.col("doc_id"))
-    return docs.join(gone.select(F.col("doc_id").alias("_gone")), F.col(id_col) == F.col("_gone"), "left_anti")
+    (name,) = fresh(docs, "gone")
+    return docs.join(gone.select(F.col("doc_id").alias(name)), F.col(id_col) == F.col(name), "left_anti")
 
 
 def hex_digits(fp: str = "fp"):
