@@ -54,6 +54,23 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder of our own when the driver ends."""
+    files, target = _file_system(spark, path)
+    files.deleteOnExit(target)
+
+
+def delete_now(spark: SparkSession, path: str) -> None:
+    """Delete a folder of our own that nothing reads any more."""
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
+
+
 def shared_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back.
 
@@ -64,8 +81,7 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/materia-{label}-{uuid.uuid4().hex}"
     df.write.mode("error").option("compression", "zstd").parquet(path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ import random
 import corpus_pipeline
 import duckdb
 import pytest
-from materia.llm import langid, queries, simhash
+from materia.llm import langid, queries
 from materia.llm.packing import Encoder
 
 
@@ -33,10 +33,9 @@ def test_stages_against_brute_force(spark, tmp_path):
     last = {}
     for i, t in kept.items():
         last[t] = max(i, last.get(t, i))
-    marks = {i: simhash.fingerprint_of(t) for t, i in last.items()}
-    from tests.llm.test_dedup import brute_components
+    from tests.llm.test_near_dedup import brute
 
-    final = {i for i, c in brute_components(marks).items() if i == c}
+    final, _ = brute([(i, t) for t, i in last.items()])
     out = corpus_pipeline.run(spark, folder).collect()
     assert {r["doc_id"] for r in out} == final
     encoder = Encoder(queries.byte_bpe())
@@ -55,6 +54,26 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert stage(spark, docs.limit(0), folder).count() == 0
 
 
+def test_mix_reaches_the_windows(spark, tmp_path):
+    """The stored order of the mix, read back in any splits, is the order of the windows; stage folders are gone."""
+    folder = f"file://{tmp_path}"
+    rows = [(i, f"the and of which with then before {i} after " * (2 + i % 5), "en", "big" if i % 4 else "small", 0) for i in range(800)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    corpus_pipeline.mix_sources(spark, docs, folder).write.parquet(f"{folder}/mixed")
+    from materia.llm import mixing
+
+    order = {r["doc_id"]: (r["mix_slot"], r["mix_offset"]) for r in mixing.mix(docs, mixing.tempered_shares(docs)).collect()}
+    rank = {i: k for k, i in enumerate(sorted(order, key=order.get))}
+    pieces = corpus_pipeline.pack_windows(spark, spark.read.parquet(f"{folder}/mixed"), folder).collect()
+    heads = [p["doc_id"] for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])) if p["start"] == 0]
+    # best fit moves a document by some windows, never far
+    assert max(abs(rank[i] - k) for k, i in enumerate(heads)) < 250 and heads != sorted(heads)
+    early = heads[:200]
+    share = 600**0.5 / (600**0.5 + 200**0.5)
+    assert abs(sum(i % 4 > 0 for i in early) / 200 - share) < 0.12
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_matches_sql(spark, name):
     sf = "/root/testdata/sf0.01"
