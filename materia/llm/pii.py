@@ -186,7 +186,7 @@ lllllllll lllllllllllllllllllll for llllllllllllllllll is llllllllllllllllllll a
 
 TAGS = ("O", "B-secret", "I-secret", "B-natid", "I-natid")
 NEIGHBOURS = (-2, -1, 1)
-REMEMBER = 300_000
+REMEMBER = 1_000_000
 _TOKEN = re.compile(r"""[^\s=:"'`,;()<>\[\]{}]+|[=:"'`,;()<>\[\]{}]""")
 _SHAPE = [(re.compile(p), r) for p, r in ((r"[A-Z]+", "X"), (r"[a-z]+", "x"), (r"[0-9]+", "9"), (r"[^\x00-\x7f]+", "u"))]
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
@@ -197,24 +197,36 @@ def _size(n: int) -> int:
     return n if n < 5 else 5 + (n > 8) + (n > 11) + (n > 15) + (n > 23)
 
 
+def _shape(word: str) -> str:
+    if word.isascii() and word.isalpha():
+        if word.islower():
+            return "x"
+        if word.istitle() and len(word) > 1:
+            return "Xx"
+    for pattern, mark in _SHAPE:
+        word = pattern.sub(mark, word)
+    return word
+
+
+def _kind(word: str, shape: str) -> str:
+    if "9" in shape:
+        return "mixed" if any(map(str.isalpha, word)) else "digits"
+    return "letters" if any(map(str.isalpha, word)) else "marks"
+
+
 def describe(word: str) -> tuple[list[str], list[str], str, str]:
     """Features of a word for its own tag, for the tags of words near it, its lower-case form, and its kind and size."""
     if word == EDGE:
         return [], ["edge"], "edge", "edge"
-    if word.isascii() and word.isalpha() and word.islower():
-        shape, digit, letter = "x", False, True
-    else:
-        shape = word
-        for pattern, mark in _SHAPE:
-            shape = pattern.sub(mark, shape)
-        digit, letter = "9" in shape, any(map(str.isalpha, word))
-    size = f"{('mixed' if letter else 'digits') if digit else ('letters' if letter else 'marks')} {_size(len(word))}"
+    shape = _shape(word)
+    kind = _kind(word, shape)
+    size = f"{kind} {_size(len(word))}"
     lower = word.lower()
     runs = min(len(shape), 8)
     own = ["bias", f"shape={shape}", f"size={size}", f"hex={bool(_HEX.fullmatch(word))} {size}", f"runs={runs} {_size(len(word))}",
            f"word={lower}", f"start={word[:4]} {_size(len(word))}", f"capitals={word.isupper()} {size}"]
-    if not letter:
-        own.append("digits=" + "".join("9" if c.isdigit() else c for c in word))
+    if kind in ("digits", "marks"):
+        own.append("digits=" + _DIGIT.sub("9", word))
     return own, [f"word={lower}", f"end={lower[-4:]}", f"shape={shape}"], lower, size
 
 
@@ -321,7 +333,11 @@ def train(rounds: int = 10, rate: float = 0.2, penalty: float = 1e-4) -> Field:
 
 
 class Reader:
-    """Emissions of word sequences from tables with a row for each distinct word."""
+    """Emissions of word sequences from tables with a row for each kind of word.
+
+    Words whose features of weight are the same share a row: a word, its start and its end only count where the
+    training table has them.
+    """
 
     def __init__(self, field: Field) -> None:
         self.field = field
@@ -338,16 +354,35 @@ class Reader:
         for f, w in field.weights.items():
             if (m := re.match(r"(-?\d) (?!.* & )(.*)", f)) is not None:
                 self.near.setdefault(m[2], np.zeros((len(NEIGHBOURS), len(TAGS))))[NEIGHBOURS.index(int(m[1]))] = w
-        self._clear()
-
-    def _clear(self) -> None:
+        after = lambda names, mark: {f[len(mark) :] for f in names if f.startswith(mark)}
+        self.starts = {x.rpartition(" ")[0] for x in after(self.own, "start=")}
+        self.ends = after(self.near, "end=")
+        self.words = after(self.own, "word=") | after(self.near, "word=") | set(self.lowers)
+        self.longest = max(map(len, self.words), default=0)
         self.numbers: dict[str, int] = {}
+        self.kinds: dict[tuple, int] = {}
         self.table = np.zeros((1024, 1 + len(NEIGHBOURS), len(TAGS)))
         self.classes = np.zeros((1024, 2), np.int64)
         self._number(EDGE)
 
     def _number(self, word: str) -> int:
-        at = self.numbers[word] = len(self.numbers)
+        """The row of a word."""
+        size = len(word)
+        shape = _shape(word)
+        kind = "letters" if shape in ("x", "Xx") else _kind(word, shape)
+        lower = word.lower() if size <= self.longest else ""
+        start, end = word[:4], word[-4:].lower()
+        alike = (
+            shape, _size(size), lower if lower in self.words else size == 0, start if start in self.starts else "", end if end in self.ends else "",
+            word.isupper(), _HEX.fullmatch(word) is not None, kind, _DIGIT.sub("9", word) if kind in ("digits", "marks") else "",
+        )
+        at = self.kinds.get(alike)
+        if at is None:
+            at = self.kinds[alike] = self._row(len(self.kinds), word)
+        self.numbers[word] = at
+        return at
+
+    def _row(self, at: int, word: str) -> int:
         if at >= len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.classes = np.concatenate([self.classes, np.zeros_like(self.classes)])
@@ -361,8 +396,9 @@ class Reader:
         return at
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        if len(self.numbers) > REMEMBER:
-            self._clear()
+        if len(self.numbers) > REMEMBER or len(self.kinds) > REMEMBER // 4:
+            self.numbers, self.kinds = {}, {}
+            self._number(EDGE)
         get, number = self.numbers.get, self._number
         n = np.array([0, 0, *(i if (i := get(w)) is not None else number(w) for w in words), 0])
         mid = n[2:-1]
