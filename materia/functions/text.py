@@ -84,7 +84,8 @@ def slugify(c: Column) -> Column:
 
 
 def chunk_id(source: Column, slug: Column, section: Column, number: Column) -> Column:
-    return F.concat_ws(":", source, F.lit("ingredient"), slug, section, F.lpad(number.cast("string"), 4, "0"))
+    digits = number.cast("string")
+    return F.concat_ws(":", source, F.lit("ingredient"), slug, section, F.when(F.length(digits) >= 4, digits).otherwise(F.lpad(digits, 4, "0")))
 
 
 def slug_of_chunk_id(c: Column) -> Column:

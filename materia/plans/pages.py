@@ -93,15 +93,15 @@ def whole_sections(spark, sf):
     return s.agg(F.count_if(F.col("fits")).alias("whole"), F.count_if(~F.col("fits")).alias("cut"))
 
 
-@query("t6_evidence_schema", """SELECT 'longchau:ingredient:' || source || ':' || lang || ':' || lpad(CAST(row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS VARCHAR), 4, '0') AS chunk_id, 'Hoạt chất: ' || source || chr(10) AS head,
-  length(text) AS text_chars FROM documents""")
+@query("t6_evidence_schema", """SELECT 'longchau:ingredient:' || source || ':' || lang || ':' || CASE WHEN row_number() OVER w > 9999 THEN CAST(row_number() OVER w AS VARCHAR) ELSE lpad(CAST(row_number() OVER w AS VARCHAR), 4, '0') END AS chunk_id, 'Hoạt chất: ' || source || chr(10) AS head,
+  length(text) AS text_chars FROM documents WINDOW w AS (PARTITION BY source, lang ORDER BY doc_id)""")
 def evidence_schema(spark, sf):
     """Source chunks to evidence rows: id with a running index, context, count."""
     w = Window.partitionBy("source", "lang").orderBy("doc_id")
     d = table(spark, sf, "documents").select("doc_id", "source", "lang", "text").withColumn("i", F.row_number().over(w))
     prefix = C.prefix(F.col("source"), F.col("source"), F.col("lang"), F.lit("documents"), F.lit("u"))
     full = F.concat(prefix, "text")
-    number = F.when(F.length(F.col("i").cast("string")) > 4, F.left(F.col("i").cast("string"), F.lit(4))).otherwise(F.lpad(F.col("i").cast("string"), 4, "0"))
+    number = F.expr("lpad(string(i), greatest(4, length(string(i))), '0')")
     return d.select(F.concat_ws(":", F.lit("longchau:ingredient"), "source", "lang", number).alias("chunk_id"), F.concat(F.substring_index(full, "\n", 1), F.lit("\n")).alias("head"),
                     (F.length(full) - F.length(prefix)).cast("long").alias("text_chars"))
 
@@ -116,8 +116,8 @@ def short_sections(spark, sf):
 def table_repair(spark, sf):
     """Each document's lines as the cells of rows that end as the one before; only eligible texts reach Python."""
     d = table(spark, sf, "documents").select("doc_id", "text")
-    long = d.filter("length(text) > 9000").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), lambda s: F.concat_ws(" | ", s, s, F.substring(s, F.lit(2), F.length(s)), F.substring(s, F.lit(3), F.length(s)), F.substring(s, F.lit(4), F.length(s)), F.substring(s, F.lit(5), F.length(s)))), "\n").alias("t"))
+    long = d.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), lambda s: F.concat_ws(" | ", s, s, F.substring(s, F.lit(2), F.length(s)), F.substring(s, F.lit(3), F.length(s)), F.substring(s, F.lit(4), F.length(s)), F.substring(s, F.lit(5), F.length(s)))), "\n").alias("t"))
     ratio = X.deflate_ratio_py("t")
     ready = long.withColumn("ratio", ratio).filter(C.repair_eligible(F.col("t"), F.col("ratio")))
-    fixed = ready.withColumn("r", C.repair_rows_py("t"))
+    fixed = ready.withColumn("r", C.repair_rows(F.col("t")))
     return fixed.select("doc_id", F.length("t").alias("before"), F.length("r").alias("after"), (F.col("r") != F.col("t")).alias("repaired"))

@@ -128,21 +128,34 @@ def fuzzy(spark, sf):
 
 
 @query("d2_levenshtein_join", """WITH n AS (SELECT DISTINCT p_name FROM part) SELECT q.p_name AS query_id, c.p_name AS id, levenshtein(replace(q.p_name, 'i', 'y'), c.p_name) AS distance FROM n q JOIN n c
-  ON levenshtein(replace(q.p_name, 'i', 'y'), c.p_name) <= 2 AND q.p_name[-3:] = c.p_name[-3:]""")
+  ON levenshtein(replace(q.p_name, 'i', 'y'), c.p_name) <= 2""")
 def levenshtein(spark, sf):
-    """The built-in distance as a backend, joined on the last three letters."""
-    q = misspelt(spark, sf).withColumn("tail", F.right("query_id", F.lit(3)))
-    c = table(spark, sf, "part").select(F.col("p_name").alias("id")).distinct().withColumn("tail", F.right("id", F.lit(3)))
-    return q.join(c, "tail").withColumn("distance", F.levenshtein("q", "id", 2)).filter("distance >= 0").select("query_id", "id", "distance")
-
-
-@query("j6_pair_guard", """WITH n AS (SELECT DISTINCT p_name, string_split(p_name, ' ') AS t FROM part) SELECT a.p_name AS query_id, b.p_name AS id FROM n a JOIN n b ON a.t[2] = b.t[2] WHERE list_contains(b.t, a.t[1]) OR len(list_intersect(a.t, b.t)) >= 2""")
+    """The built-in distance as a backend. Two edits leave one of three parts of the shorter name whole, at most two places off."""
+    q = misspelt(spark, sf)
+    c = table(spark, sf, "part").select(F.col("p_name").alias("id")).distinct()
+    third = lambda s, k: F.floor(F.length(s) * k / 3).cast("int")
+    parts = F.array(*(F.struct(F.lit(k).alias("k"), third("id", k).alias("at"), F.substring("id", third("id", k) + 1, third("id", k + 1) - third("id", k)).alias("part")) for k in range(3)))
+    kept = c.select("id", F.length("id").alias("n"), F.inline(parts))
+    # of each name asked: the parts a choice of each near length would have, at each shift
+    lengths = q.select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.length("q") - 2), F.length("q") + 2)).alias("n"))
+    cut = lambda k: (F.floor(F.col("n") * k / 3).cast("int"))
+    shifts = F.sequence(F.lit(-2), F.lit(2))
+    asked_part = lambda k: F.transform(shifts, lambda d: F.struct(F.lit(k).alias("k"), F.substring(F.col("q"), cut(k) + d + 1, cut(k + 1) - cut(k)).alias("part")))
+    asked = F.flatten(F.array(*map(asked_part, range(3))))
+    pairs = lengths.select("query_id", "q", "n", F.inline(asked)).join(kept, ["k", "n", "part"]).select("query_id", "q", "id").distinct()
+    return pairs.withColumn("distance", F.levenshtein("q", "id", 2)).filter("distance >= 0").select("query_id", "id", "distance")
+
+
+@query("j6_pair_guard", """WITH n AS (SELECT DISTINCT p_name, list_filter(string_split(p_name, ' '), lambda x: length(x) >= 3) AS t FROM part) SELECT a.p_name AS query_id, b.p_name AS id FROM n a JOIN n b
+  ON list_has_any(a.t, b.t) WHERE len(a.t) <= 1 OR len(list_intersect(a.t, b.t)) >= 2
+  OR len(list_filter(b.t, lambda x: (contains(x, a.t[1]) OR contains(a.t[1], x)) AND 2.0 * least(length(x), length(a.t[1])) / (length(x) + length(a.t[1])) >= 0.8)) > 0""")
 def pair_guard(spark, sf):
-    """The native part of the guard: shared tokens, or the first token in the choice; pairs joined on a token."""
-    n = table(spark, sf, "part").select("p_name").distinct().withColumn("t", F.split("p_name", " "))
-    a, b = n.select(F.col("p_name").alias("query_id"), F.col("t").alias("ta"), F.col("t")[1].alias("w")), n.select(F.col("p_name").alias("id"), F.col("t").alias("tb"), F.col("t")[1].alias("w"))
-    allowed = F.array_contains("tb", F.col("ta")[0]) | (F.size(F.array_intersect("ta", "tb")) >= 2)
-    return a.join(b, "w").filter(allowed).select("query_id", "id")
+    """Pairs that share a token and that the product guard allows."""
+    n = table(spark, sf, "part").select("p_name").distinct()
+    a = n.select(F.col("p_name").alias("query_id"), F.explode(R.guard_tokens(F.col("p_name"))).alias("token"))
+    b = n.select(F.col("p_name").alias("id"), F.explode(R.guard_tokens(F.col("p_name"))).alias("token"))
+    pairs = a.join(b, "token").select("query_id", "id").distinct()
+    return pairs.filter(R.pair_allowed(F.col("query_id"), F.col("id")))
 
 
 @query("j7_deny_list", """SELECT DISTINCT a.l_partkey AS asked, b.l_partkey AS matched FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey

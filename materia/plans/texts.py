@@ -34,9 +34,9 @@ def slugs(spark, sf):
 
 
 @query("x5_slug_of_chunk_id", """SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE source END AS slug,
-  'longchau:ingredient:' || source || ':' || lang || ':' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') AS chunk_id FROM documents""")
+  'longchau:ingredient:' || source || ':' || lang || ':' || CASE WHEN doc_id > 9999 THEN CAST(doc_id AS VARCHAR) ELSE lpad(CAST(doc_id AS VARCHAR), 4, '0') END AS chunk_id FROM documents""")
 def chunk_ids(spark, sf):
-    made = X.chunk_id(F.lit("longchau"), F.col("source"), F.col("lang"), F.col("doc_id") % 10000)
+    made = X.chunk_id(F.lit("longchau"), F.col("source"), F.col("lang"), F.col("doc_id"))
     old = F.concat_ws(":", F.lit("trungtamthuoc"), "source", "lang", "doc_id")
     given = F.when(F.col("doc_id") % 3 == 0, made).when(F.col("doc_id") % 3 == 1, old).otherwise(F.concat(F.lit("other:"), old))
     return docs(spark, sf).select("doc_id", X.slug_of_chunk_id(given).alias("slug"), made.alias("chunk_id"))

@@ -114,29 +114,51 @@ def test_lookup_layers(spark):
 def test_fuzzy_join_loses_nothing(spark):
     names = ["omeprazol", "omeprazole", "esomeprazol", "lansoprazol", "paracetamol", "paracetamon", "ab", "abc", "abd", "metformin", "metfomin", "kali clorid", "kali clorua"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
-    found = {(r["query_id"], r["id"]): r["score"] for r in resolve.fuzzy_join(df.selectExpr("n AS query_id", "n AS q"), df.selectExpr("n AS id", "n AS c"), 0.66, guard=False).collect()}
+    found = {(r["query_id"], r["id"]): r["score"] for r in resolve.fuzzy_join(df.selectExpr("n AS query_id", "n AS q"), df.selectExpr("n AS id", "n AS c"), 0.66, guard=None).collect()}
     wanted = {(a, b): s for a in names for b in names if (s := SequenceMatcher(None, a, b).ratio()) >= 0.66}
     assert found == pytest.approx(wanted)
 
 
-def test_chunking():
+def cut_text(spark, text, limit, overlap):
+    r = chunking.with_pieces(spark.createDataFrame([(text,)], "t string"), "t", F.lit(limit), overlap).first()
+    return r["contents"], r["strategy"]
+
+
+def test_chunking(spark):
     text = "\n".join(f"line {i} " + "x" * 40 for i in range(20)) + "\n" + "Sentence one. " * 40 + "\n" + "y" * 500
-    pieces = chunking.pieces_of(text, 200, 50)
-    assert all(0 < len(c) <= 200 for c, _ in pieces)
-    assert {w for c, _ in pieces for w in c.split()} >= {f"{i}" for i in range(20)}
-    assert pieces[1][0].split("\n")[0] == pieces[0][0].split("\n")[-1]
-    assert "".join(c for c, _ in pieces if set(c) == {"y"}) == "y" * 500
+    pieces, strategy = cut_text(spark, text, 200, 50)
+    assert strategy == "split" and all(0 < len(c) <= 200 for c in pieces)
+    assert {w for c in pieces for w in c.split()} >= {f"{i}" for i in range(20)}
+    assert pieces[1].split("\n")[0] == pieces[0].split("\n")[-1]
+    assert "".join(c for c in pieces if set(c) == {"y"}) == "y" * 500
     table = "Thuốc | Liều\n" + "\n".join(f"a{i} | b{i}" for i in range(60))
-    pieces = chunking.pieces_of(table, 120, 50)
+    pieces, strategy = cut_text(spark, table, 120, 50)
     head = "Thuốc | Liều"
-    assert all(c.startswith(head) or len(head) + 1 + len(c) > 120 for c, _ in pieces) and {s for _, s in pieces} == {"table_line_group"}
+    assert all(c.startswith(head) or len(head) + 1 + len(c) > 120 for c in pieces) and strategy == "table_line_group"
+    assert cut_text(spark, "aa\nbb\ncc", 5, 0)[0] == ["aa\nbb", "cc"] and cut_text(spark, "aa\nbb\ncc", 5, 2)[0] == ["aa\nbb", "bb\ncc"]
+    assert cut_text(spark, "One. Two three. Fourteen.\nx", 10, 0)[0] == ["One.", "Two three.", "Fourteen.", "x"] and cut_text(spark, "abcdefghij kl", 4, 0)[0] == ["abcd", "efgh", "ij", "kl"]
 
 
-def test_table_repair():
+def test_table_repair(spark):
     row = "alpha beta gamma | beta gamma | gamma | alpha beta | other"
     text = "\n".join([row] * 50)
-    assert chunking.repair_rows(text) == "\n".join(["alpha beta gamma | other"] * 50)
-    assert chunking.repair_rows("a | b") == "a | b"
+    rows = spark.createDataFrame([(text,), ("a | b",)], "t string").select(chunking.repair_rows(F.col("t")).alias("r")).collect()
+    assert [r["r"] for r in rows] == ["\n".join(["alpha beta gamma | other"] * 50), "a | b"]
+
+
+def test_pair_guards(spark):
+    cases = [("kem ab", "xyz", True, False), ("para cet amol", "cet amol", True, True), ("vitamin alpha", "vitamin beta", True, True), ("alpha vitamin", "beta vitamin", False, True),
+             ("alpha vitamin", "alpho vitamin", True, True), ("paracetamol", "paracetamo", True, True), ("paracetamol", "ibuprofen", True, False)]
+    df = spark.createDataFrame([c[:2] for c in cases], "q string, c string")
+    found = df.select(resolve.pair_allowed(F.col("q"), F.col("c")).alias("p"), resolve.ingredient_pair_allowed(F.col("q"), F.col("c")).alias("i")).collect()
+    assert [(r["p"], r["i"]) for r in found] == [c[2:] for c in cases]
+
+
+def test_fuzzy_stage_of_ingredients(spark):
+    names = spark.createDataFrame([(1, "paracetamol"), (2, "paracetamoll"), (3, "nothing like it")], "query_id long, name string")
+    catalog = spark.createDataFrame([(10, ["paracetamol"], 3), (11, ["paracetamolx"], 0)], "catalog_id long, keys array<string>, chunk_count int")
+    found = {(r["query_id"], r["catalog_id"], r["match_type"]): r["score"] for r in resolve.resolve_ingredients(names, catalog).collect()}
+    assert found == {(1, 10, "exact"): 1.0, (2, 10, "fuzzy"): pytest.approx(22 / 23)}
 
 
 def test_pages(spark):
