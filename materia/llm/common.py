@@ -32,14 +32,23 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or the checkpoint folder set on its context."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or the checkpoint folder set on its context.
+
+    Where neither is set, a session whose master is local (one machine, as in tests) gets one of its own; on a cluster
+    that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    import tempfile
+
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="materia-shared-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -109,18 +109,16 @@ def spherical_kmeans(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def thresholds(x: np.ndarray, size: np.ndarray, owner: np.ndarray, clusters: int) -> np.ndarray:
     """The least cosine of each range of lengths, from halves of the sample held against each other."""
-    half = np.arange(len(x)) % 2 == 0
     known, unknown = np.zeros(len(x)), np.full(len(x), -1.0)
-    for part in (half, ~half):
-        centres = {o: spherical_kmeans(x[part & (owner == o)], clusters) for o in np.unique(owner[part])}
-        if not centres:
-            continue
-        cosine = {o: (x[~part] @ c.T).max(axis=1) for o, c in centres.items()}
-        known[~part] = np.max(list(cosine.values()), axis=0)
-        for o in np.unique(owner[~part]):
-            others = [c[owner[~part] == o] for q, c in cosine.items() if q != o]
-            if others:
-                unknown[np.flatnonzero(~part)[owner[~part] == o]] = np.max(others, axis=0)
+    at = np.arange(len(x))
+    for part in (0, 1):
+        centres = {o: spherical_kmeans(x[(at % 2 == part) & (owner == o)], clusters) for o in np.unique(owner[at % 2 == part])}
+        for o in np.unique(owner[at % 2 != part]) if centres else []:
+            mine = at[(at % 2 != part) & (owner == o)]
+            cosine = {q: (x[mine] @ c.T).max(axis=1) for q, c in centres.items()}
+            known[mine] = np.max(list(cosine.values()), axis=0)
+            if others := [c for q, c in cosine.items() if q != o]:
+                unknown[mine] = np.max(others, axis=0)
     ranges = np.searchsorted(LENGTHS, size, side="right")
     least = np.zeros(len(LENGTHS) + 1)
     for r in range(len(least)):
@@ -169,7 +167,8 @@ def fit(docs: DataFrame, fold=None, id_col: str = "doc_id", text_col: str = "tex
         n = np.frombuffer(r["n"], "<i4")
         x[k, np.frombuffer(r["at"], "<i4")] = np.log1p(n)
         size[k] = n.sum()
-    weight = (np.log((1 + len(rows)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
+    del rows
+    weight = (np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
     x *= weight
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     centroids = [spherical_kmeans(x[owner == i], clusters) for i in range(len(languages))]
