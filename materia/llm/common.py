@@ -150,3 +150,17 @@ def label_shares(labels: DataFrame, label: str, fold, id_col: str = "doc_id") ->
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & fold)
     counts = {int(r["y"]): r["count"] for r in known.groupBy(F.col(label).alias("y")).count().collect()}
     return {y: n / sum(counts.values()) for y, n in counts.items()}
+
+
+def with_group(rows: DataFrame, groups: DataFrame, keys: str | list[str], size: str, total: int, hot: int = 1000) -> DataFrame:
+    """``rows`` left-joined with ``groups``, which has each key at most once and its number of rows in ``size``.
+
+    Groups of more than one in ``hot`` of ``total`` rows (so fewer than ``hot`` of them) are broadcast, the others meet
+    their rows by a shuffle, so no group gathers in one task. Both tables are read twice: give stored ones.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    added = [c for c in groups.columns if c not in keys]
+    is_hot = F.col(size) * hot > total
+    near = rows.join(F.broadcast(groups.filter(is_hot)), keys, "left")
+    far = near.filter(F.col(size).isNull()).drop(*added).join(groups.filter(~is_hot), keys, "left")
+    return near.filter(F.col(size).isNotNull()).unionByName(far)

@@ -1,4 +1,4 @@
-"""The ten registered queries opN_<name>, and their SQL where SQL can express them."""
+"""The thirteen registered queries opN_<name>, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from materia.llm import exact_dedup, extraction, langid, media, mixing, packing, pii, quality, simhash, toxicity
+from materia.llm import conversations, decontamination, exact_dedup, extraction, filter_audit, langid, media, mixing, packing, pii, quality, simhash, toxicity
 from materia.llm.common import crc_mod, load
 
 
@@ -87,9 +87,34 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = filter_audit.text_flags(load(spark, sf_dir, "documents"))
+    marked = filter_audit.with_marks(flags, load(spark, sf_dir, "labels"), {"good": "quality", "toxic": "toxic"})
+    return filter_audit.audit(marked, list("ABCDE"), ["good", "toxic"]).drop("filter")
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversations.turns_in_order(load(spark, sf_dir, "conversations"))
+    return conversations.prefix_trie(*conversations.shared_beginnings(turns))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_quality, op4_mixing, op5_simhash, op6_extraction, op7_language, op8_personal_data, op9_media, op10_exact_dedup)}
+    every = (
+        op1_packing, op2_toxicity, op3_quality, op4_mixing, op5_simhash, op6_extraction, op7_language, op8_personal_data, op9_media, op10_exact_dedup,
+        op11_decontamination, op12_filter_audit, op13_conversation_trie,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op4_mixing": mixing.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op11_decontamination": decontamination.ORACLE, "op12_filter_audit": filter_audit.ORACLE,
+        "op13_conversation_trie": conversations.ORACLE,
+    }
