@@ -2,21 +2,45 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from materia.operators.running import running
+from materia.sources.shared import shared_table
+
+
+def at_ranks(df: DataFrame, value: Column, keys: list[str], ranks: dict[str, Column]) -> DataFrame:
+    """(keys, n, one column a rank): exact values at ranks (from 1, expressions of the group's count ``n``); nulls don't count.
+
+    Values are counted first, in part before the shuffle; running sums of the counts, spread over ranges of values, say
+    which value has the rank. No task holds the values of a group, and nothing is sorted but the distinct ones.
+    """
+    at, many, upto = "_value", "_many", "_upto"
+    counts = df.select(*keys, value.alias(at)).filter(F.col(at).isNotNull()).groupBy(*keys, at).agg(F.count("*").alias(many))
+    summed = running(counts, keys, [at], **{upto: ("sum", F.col(many))})
+    summed = shared_table(summed, "value-counts")
+    whole = summed.groupBy(*(F.col(k).alias(f"_of_{k}") for k in keys)).agg(F.sum(many).alias("n"))
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys), F.lit(True))
+    joined = summed.join(whole, same) if keys else summed.join(F.broadcast(whole))
+    return joined.groupBy(*keys, "n").agg(*(F.min(F.when(F.col(upto) >= r, F.col(at))).alias(name) for name, r in ranks.items()))
+
 
 def length_stats(df: DataFrame, length: Column, keys: list[str] | None = None) -> DataFrame:
     """count, min, max, median, mean (rounded half-even to 2) of a length, overall or by key."""
-    return df.groupBy(*(keys or [])).agg(
-        F.count(length).alias("n"), F.min(length).cast("long").alias("least"), F.max(length).cast("long").alias("most"),
-        F.bround(F.percentile(length, 0.5), 2).alias("median"), F.bround(F.avg(length), 2).alias("mean"),
-    )
+    keys = keys or []
+    middle = at_ranks(df, length, keys, {"low": F.floor((F.col("n") + 1) / 2), "high": F.floor(F.col("n") / 2) + 1})
+    middle = middle.select(*(F.col(k).alias(f"_of_{k}") for k in keys), F.bround((F.col("low") + F.col("high")) / 2, 2).alias("median"))
+    plain = df.groupBy(*keys).agg(F.count(length).alias("n"), F.min(length).cast("long").alias("least"), F.max(length).cast("long").alias("most"), F.bround(F.avg(length), 2).alias("mean"))
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys), F.lit(True))
+    joined = plain.join(middle, same, "left") if keys else plain.join(F.broadcast(middle), how="left")
+    return joined.select(*keys, "n", "least", "most", "median", "mean")
 
 
 def nearest_rank(df: DataFrame, value: str, p: float = 0.95) -> DataFrame:
     """The nearest-rank percentile of a column, and how many rows are at or above it. One row."""
-    limit = df.agg(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias("limit_value"))
+    limit = at_ranks(df, F.col(value), [], {"limit_value": F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n")))}).select("limit_value")
     return df.join(F.broadcast(limit)).groupBy("limit_value").agg(F.count_if(F.col(value) >= F.col("limit_value")).alias("at_or_above"))
 
 

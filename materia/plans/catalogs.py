@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from materia.functions import text as X
 from materia.operators import catalog as C
+from materia.operators.running import running
 from materia.registry import query, table
 
 CHUNKS_SQL = """chunks AS (SELECT doc_id AS seq, doc_id AS chunk_id, source AS slug, lang AS section, CASE WHEN doc_id % 2 = 0 THEN 'trungtamthuoc' ELSE 'longchau' END AS source,
@@ -111,8 +112,7 @@ def chunk_identity(spark, sf):
 
 @query("w1_running_index", "SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS chunk_index FROM documents")
 def running_index(spark, sf):
-    w = Window.partitionBy("source", "lang").orderBy("doc_id")
-    return table(spark, sf, "documents").select("doc_id", "source", "lang", F.row_number().over(w).alias("chunk_index"))
+    return running(table(spark, sf, "documents").select("doc_id", "source", "lang"), ["source", "lang"], ["doc_id"], chunk_index=("count", None))
 
 
 @query("w2_first_seen_dedup", "SELECT key, min(doc_id) AS doc_id, count(*) - 1 AS quarantined FROM (SELECT md5(text) AS key, doc_id FROM documents) GROUP BY key")

@@ -46,15 +46,19 @@ def work_dir(spark, label):
     return f"{base}/materia-{label}-{uuid.uuid4().hex}"
 
 
-@query("s6_multi_source_lines", "SELECT 2 AS files_read, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) AS lines_read, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) AS numbered")
+@query("s6_multi_source_lines", """SELECT 2 AS sources_read, (SELECT count(*) FROM events) + (SELECT count(*) FROM orders) AS lines_read, (SELECT count(*) FROM events) + (SELECT count(*) FROM orders) AS numbered,
+  (SELECT sum(event_id) FROM events) + (SELECT sum(o_orderkey) FROM orders) AS keys""")
 def multi_source_lines(spark, sf):
-    """Two tables written as JSON lines and read back as one stream with line numbers (S6, S7)."""
+    """Two tables written as JSON lines and read back as one stream; numbers run from 1 to the last line of each file (S6, S7)."""
     root = work_dir(spark, "lines")
-    for name in ("region", "nation"):
-        L.publish(table(spark, sf, name).coalesce(1), f"{root}/{name}")
-    rows = L.read_lines(spark, [f"{root}/region", f"{root}/nation"])
-    per_file = rows.groupBy("path").agg(F.count("*").alias("n"), F.max("line_number").alias("last"))
-    return per_file.agg(F.count("*").alias("files_read"), F.sum("n").alias("lines_read"), F.sum("last").alias("numbered"))
+    for name in ("events", "orders"):
+        L.publish(table(spark, sf, name), f"{root}/{name}")
+    rows = L.read_lines(spark, [f"{root}/events", f"{root}/orders"])
+    key = F.get_json_object("line", "$.event_id").cast("long"), F.get_json_object("line", "$.o_orderkey").cast("long")
+    per_file = rows.groupBy("path").agg(F.count("*").alias("n"), F.countDistinct("line_number").alias("numbers"), F.min("line_number").alias("first"), F.max("line_number").alias("last"), F.sum(F.coalesce(*key)).alias("keys"))
+    whole = F.when((F.col("first") == 1) & (F.col("last") == F.col("n")), F.col("numbers")).otherwise(0)
+    source = F.element_at(F.split("path", "/"), -2)
+    return per_file.agg(F.countDistinct(source).alias("sources_read"), F.sum("n").alias("lines_read"), F.sum(whole).alias("numbered"), F.sum("keys").alias("keys"))
 
 
 @query("s3_recursive_files", "SELECT p_brand AS category, count(*) AS files_read, sum(items) AS items_read FROM (SELECT p_brand, p_size, count(*) AS items FROM part GROUP BY 1, 2) GROUP BY 1")
@@ -165,13 +169,13 @@ def array_items(spark, sf):
     return made.select(brand.alias("category"), F.regexp_extract("path", r"size=(\d+)", 1).cast("int").alias("size"), "items", "first_key")
 
 
-@query("s5_source_fallback", "SELECT count(*) AS rows_read FROM nation")
+@query("s5_source_fallback", "SELECT o_orderstatus, count(*) AS rows_read FROM orders GROUP BY o_orderstatus")
 def source_fallback(spark, sf):
     """The processed folder is absent, so the raw one is read."""
     root = work_dir(spark, "fallback")
-    table(spark, sf, "nation").write.json(f"{root}/raw")
+    table(spark, sf, "orders").write.json(f"{root}/raw")
     chosen = L.first_with_files(spark, [f"{root}/processed", f"{root}/raw"])
-    return spark.read.schema("n_nationkey int").json(chosen).agg(F.count("*").alias("rows_read"))
+    return spark.read.schema("o_orderstatus string").json(chosen).groupBy("o_orderstatus").agg(F.count("*").alias("rows_read"))
 
 
 @query("s7_guarded_publish", "SELECT count(*) AS lines_published, true AS refused FROM supplier")

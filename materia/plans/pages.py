@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from materia.functions import text as X
 from materia.operators import chunking as C
 from materia.operators import pages as P
+from materia.operators.running import running
 from materia.registry import query, table
 
 
@@ -96,14 +97,13 @@ def whole_sections(spark, sf):
 @query("t6_evidence_schema", """SELECT 'longchau:ingredient:' || source || ':' || lang || ':' || CASE WHEN row_number() OVER w > 9999 THEN CAST(row_number() OVER w AS VARCHAR) ELSE lpad(CAST(row_number() OVER w AS VARCHAR), 4, '0') END AS chunk_id, 'Hoạt chất: ' || source || chr(10) AS head,
   length(text) AS text_chars FROM documents WINDOW w AS (PARTITION BY source, lang ORDER BY doc_id)""")
 def evidence_schema(spark, sf):
-    """Source chunks to evidence rows: id with a running index, context, count."""
-    w = Window.partitionBy("source", "lang").orderBy("doc_id")
-    d = table(spark, sf, "documents").select("doc_id", "source", "lang", "text").withColumn("i", F.row_number().over(w))
+    """Source chunks to evidence rows: id with a running index, context, count. Ids are numbered, texts stay where they are read."""
     prefix = C.prefix(F.col("source"), F.col("source"), F.col("lang"), F.lit("documents"), F.lit("u"))
     full = F.concat(prefix, "text")
+    made = table(spark, sf, "documents").select("doc_id", "source", "lang", F.concat(F.substring_index(full, "\n", 1), F.lit("\n")).alias("head"), (F.length(full) - F.length(prefix)).cast("long").alias("text_chars"))
+    d = running(made, ["source", "lang"], ["doc_id"], i=("count", None))
     number = F.expr("lpad(string(i), greatest(4, length(string(i))), '0')")
-    return d.select(F.concat_ws(":", F.lit("longchau:ingredient"), "source", "lang", number).alias("chunk_id"), F.concat(F.substring_index(full, "\n", 1), F.lit("\n")).alias("head"),
-                    (F.length(full) - F.length(prefix)).cast("long").alias("text_chars"))
+    return d.select(F.concat_ws(":", F.lit("longchau:ingredient"), "source", "lang", number).alias("chunk_id"), "head", "text_chars")
 
 
 @query("f4_short_sections", """SELECT doc_id, length(text) >= 80 OR lang IN ('de') AS kept_chunking, length(text) >= 10 OR lang IN ('de') AS kept_cleaning FROM documents""")
