@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("evidence", "texts", "profiles", "catalogs", "resolution", "landings", "pages", "notes", "risks", "history", "normalisation", "prescriptions", "messages", "policy")
+MODULES = ("evidence", "texts", "profiles", "catalogs", "resolution", "landings", "pages", "notes", "risks", "history", "normalisation", "prescriptions", "messages", "policy", "audits")
 
 
 def load() -> None:
