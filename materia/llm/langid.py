@@ -107,15 +107,35 @@ def spherical_kmeans(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def thresholds(x: np.ndarray, size: np.ndarray, owner: np.ndarray, clusters: int) -> np.ndarray:
+class Sample:
+    """The sampled texts as weighted unit vectors: kept sparse, made dense for the rows asked for (a language at a time)."""
+
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], dims: int) -> None:
+        every = np.concatenate([at for at, _ in grams]) if grams else np.zeros(0, np.int32)
+        self.dims, self.at = dims, [at for at, _ in grams]
+        self.weight = (np.log((1 + len(grams)) / (1 + np.bincount(every, minlength=dims))) + 1).astype(np.float32)
+        self.size = np.array([n.sum() for _, n in grams], np.int64)
+        self.value = [np.log1p(n).astype(np.float32) * self.weight[at] for at, n in grams]
+        self.value = [v / max(float(np.linalg.norm(v)), 1e-12) for v in self.value]
+
+    def rows(self, which: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(which), self.dims), np.float32)
+        for k, i in enumerate(which):
+            x[k, self.at[i]] = self.value[i]
+        return x
+
+
+def thresholds(sample: Sample, owner: np.ndarray, clusters: int) -> np.ndarray:
     """The least cosine of each range of lengths, from halves of the sample held against each other."""
-    known, unknown = np.zeros(len(x)), np.full(len(x), -1.0)
-    at = np.arange(len(x))
+    size = sample.size
+    known, unknown = np.zeros(len(size)), np.full(len(size), -1.0)
+    at = np.arange(len(size))
     for part in (0, 1):
-        centres = {o: spherical_kmeans(x[(at % 2 == part) & (owner == o)], clusters) for o in np.unique(owner[at % 2 == part])}
+        centres = {o: spherical_kmeans(sample.rows(at[(at % 2 == part) & (owner == o)]), clusters) for o in np.unique(owner[at % 2 == part])}
         for o in np.unique(owner[at % 2 != part]) if centres else []:
             mine = at[(at % 2 != part) & (owner == o)]
-            cosine = {q: (x[mine] @ c.T).max(axis=1) for q, c in centres.items()}
+            rows = sample.rows(mine)
+            cosine = {q: (rows @ c.T).max(axis=1) for q, c in centres.items()}
             known[mine] = np.max(list(cosine.values()), axis=0)
             if others := [c for q, c in cosine.items() if q != o]:
                 unknown[mine] = np.max(others, axis=0)
@@ -161,19 +181,11 @@ def fit(docs: DataFrame, fold=None, id_col: str = "doc_id", text_col: str = "tex
     rows = sorted(rows, key=lambda r: (r["lang"], str(r["id"])))
     languages = sorted({r["lang"] for r in rows})
     owner = np.array([languages.index(r["lang"]) for r in rows], int)
-    x = np.zeros((len(rows), dims), np.float32)
-    size = np.zeros(len(rows), np.int64)
-    for k, r in enumerate(rows):
-        n = np.frombuffer(r["n"], "<i4")
-        x[k, np.frombuffer(r["at"], "<i4")] = np.log1p(n)
-        size[k] = n.sum()
+    held = Sample([(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<i4")) for r in rows], dims)
     del rows
-    weight = (np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
-    x *= weight
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    centroids = [spherical_kmeans(x[owner == i], clusters) for i in range(len(languages))]
+    centroids = [spherical_kmeans(held.rows(np.flatnonzero(owner == i)), clusters) for i in range(len(languages))]
     of = np.repeat(np.arange(len(languages)), [len(c) for c in centroids])
-    return Model(languages, of, np.concatenate(centroids) if centroids else np.zeros((0, dims), np.float32), weight, thresholds(x, size, owner, clusters))
+    return Model(languages, of, np.concatenate(centroids) if centroids else np.zeros((0, dims), np.float32), held.weight, thresholds(held, owner, clusters))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
