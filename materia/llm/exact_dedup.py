@@ -62,11 +62,12 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.count()
     bloom = shared_table(repeated_filter(docs.select(content.alias("content")), rows), "filter")
     small = bloom.count() * _WORD_BYTES <= filter_bytes
-    sha, word, bits, again, most, size, copies, part, first, second = fresh(docs, "sha", "word", "bits", "again", "most", "size", "copies", "part", "first", "second")
+    sha, word, counter, bits, again, most, size, copies, part, first, second = fresh(docs, "sha", "word", "counter", "bits", "again", "most", "size", "copies", "part", "first", "second")
     bloom = bloom.toDF(word, bits)
-    passed = F.coalesce(F.getbit(bits, _counter(content)) == 1, F.lit(False))
-    seen = docs.withColumn(word, _word(content, max(1, rows))).join(F.broadcast(bloom) if small else bloom, word, "left")
-    seen = seen.withColumn(again, passed).withColumn(sha, F.sha2(content, 256)).drop(word, bits)
+    passed = F.coalesce(F.getbit(bits, F.col(counter)) == 1, F.lit(False))
+    # all that is made of a text is made before the join: where the text itself isn't asked for, no shuffle has it
+    marked = docs.withColumns({word: _word(content, max(1, rows)), counter: _counter(content), sha: F.sha2(content, 256)})
+    seen = marked.join(F.broadcast(bloom) if small else bloom, word, "left").withColumn(again, passed).drop(word, bits, counter)
 
     # of each text that repeats: its largest id, its rows, and its rows with that id
     each = seen.filter(again).groupBy(sha, F.col(id_col).alias(most)).agg(F.count("*").alias(copies))

@@ -82,6 +82,20 @@ def test_exact_with_clashing_names(spark):
     assert all(r[n.upper()] == n for r in kept.collect() for n in names)
 
 
+def test_no_shuffle_has_a_text(spark):
+    """Where the text isn't asked for, a filter too large to be broadcast meets hashes, not texts."""
+    df = spark.createDataFrame([(i, f"t{i % 7}") for i in range(50)], "doc_id long, text string")
+    found = exact_dedup.find_repeats(df, filter_bytes=0).select("doc_id", "keep_id", "text_sha256")
+    assert sorted(r["keep_id"] for r in found.collect()) == sorted(max(j for j in range(50) if j % 7 == i % 7) for i in range(50))
+
+    def joins(node):
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        return [n for b in below for n in joins(b)] + ([b.output().toString() for b in below] if node.nodeName() == "Join" else [])
+
+    inputs = joins(found._jdf.queryExecution().optimizedPlan())
+    assert inputs and not any("text#" in x for x in inputs)
+
+
 def test_exact_runs_no_python(spark):
     df = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     plan = exact_dedup.find_repeats(df)._jdf.queryExecution().toString()
