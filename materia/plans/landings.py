@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from materia.functions import text as X
+from materia.operators.running import running
 from materia.registry import query, table
 from materia.sources import landing as L
+from materia.sources.shared import shared_table
 
 
 def damaged(spark, sf):
@@ -200,3 +202,18 @@ def pluggable_encoder(spark, sf):
     """Vectors of all texts by an encoder object, made once a task."""
     made = L.encode(table(spark, sf, "documents").select("doc_id", "text"), "text", HashEncoder)
     return made.select("doc_id", F.size("vector").alias("dimensions"))
+
+
+@query("s9_keyed_load", """WITH d AS (SELECT *, row_number() OVER (ORDER BY doc_id) % 3 AS k FROM documents) SELECT count(*) AS points, count(DISTINCT doc_id) AS ids, count(*) FILTER (k = 0) AS renewed, count(*) FILTER (k = 0) AS encoded_again, sum(length(coalesce(text, '')) + CASE WHEN k = 0 THEN 1 ELSE 0 END)::BIGINT AS chars FROM d""")
+def keyed_load(spark, sf):
+    """Documents loaded as points, then again with a third of them changed: those alone are encoded, and each takes its own place (S9, S10)."""
+    path = work_dir(spark, "points")
+    rows = running(table(spark, sf, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"), F.md5(F.coalesce("text", F.lit(""))).alias("text")), [], ["doc_id"], i=("count", None))
+    rows = rows.withColumn("k", F.col("i") % 3).drop("i")
+    key = F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))
+    before = L.load_vectors(rows, path, key, F.col("text"), HashEncoder).select("point_id", F.col("text_hash").alias("was"))
+    before = shared_table(before, "before")
+    renewed = rows.withColumns({"text": F.when(F.col("k") == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")), "n": F.col("n") + (F.col("k") == 0).cast("int")})
+    after = L.load_vectors(renewed, path, key, F.col("text"), HashEncoder)
+    both = after.join(before, "point_id", "left")
+    return both.agg(F.count("*").alias("points"), F.countDistinct("point_id").alias("ids"), F.count_if(F.col("k") == 0).alias("renewed"), F.count_if(F.col("was") != F.col("text_hash")).alias("encoded_again"), F.sum("n").alias("chars"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from materia.functions import text as X
+from materia.sources.shared import file_system, shared_table
+
 
 #: Blocks of files whose table of line counts is broadcast at most, about 200 bytes each; more meet their lines by a shuffle.
 BROADCAST_BLOCKS = 200_000
@@ -83,8 +87,29 @@ def first_with_files(spark: SparkSession, candidates: list[str]) -> str:
 
 
 def publish(df: DataFrame, path: str, overwrite: bool = False, kind: str = "json") -> None:
-    """All or nothing, by the commit protocol; an existing path is only replaced if asked for."""
-    df.write.mode("overwrite" if overwrite else "errorifexists").format(kind).save(path)
+    """All or nothing: an existing path is only replaced if asked for, and then only once the new data is written whole.
+
+    The new data is written beside the old and takes its place by two renames; a job that fails leaves the old as it
+    was. A path that a crash between the renames left empty has its data at ``<path>.old-...``.
+    """
+    spark = df.sparkSession
+    files, target = file_system(spark, path)
+    if not overwrite or not files.exists(target):
+        df.write.mode("errorifexists").format(kind).save(path)
+        return
+    mark = uuid.uuid4().hex
+    fresh, gone = f"{path.rstrip('/')}.new-{mark}", f"{path.rstrip('/')}.old-{mark}"
+    try:
+        df.write.mode("errorifexists").format(kind).save(fresh)
+    except BaseException:
+        files.delete(file_system(spark, fresh)[1], True)
+        raise
+    if not files.rename(target, file_system(spark, gone)[1]):
+        raise OSError(f"{path} can't be moved aside")
+    if not files.rename(file_system(spark, fresh)[1], target):
+        files.rename(file_system(spark, gone)[1], target)
+        raise OSError(f"{fresh} can't be moved to {path}")
+    files.delete(file_system(spark, gone)[1], True)
 
 
 def report(df: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -111,3 +136,27 @@ def encode(df: DataFrame, text_col: str, make_encoder: Callable[[], object], vec
 def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of ``new``, and those of ``stored`` whose key isn't among them."""
     return stored.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def load_vectors(rows: DataFrame, path: str, key: Column, text: Column, make_encoder: Callable[[], object], batch: int = 64, version: str = "1") -> DataFrame:
+    """Points (point_id, the columns of ``rows``, text_hash, version, vector) stored at ``path``: only new and changed ones are encoded.
+
+    The id is the UUIDv5 of the key, so a row loaded again takes its own place. Points whose hash of text and version is
+    as stored keep their vector; the table is replaced as a whole by ``publish``, so readers see the old or the new one.
+    Of rows with the same key the one with the largest hash stays; a null text is empty, a null key is no point.
+    """
+    spark = rows.sparkSession
+    own = rows.withColumns({"point_id": X.uuid5(key), "_text": F.coalesce(text, F.lit(""))}).filter(key.isNotNull())
+    own = own.withColumn("text_hash", F.sha2(F.concat_ws("\x00", F.lit(version), "_text"), 256)).withColumn("version", F.lit(version))
+    first = own.groupBy("point_id").agg(F.max_by(F.struct(*own.columns), "text_hash").alias("p")).select("p.*")
+    files, target = file_system(spark, path)
+    if not files.exists(target):
+        publish(encode(first, "_text", make_encoder, "vector", batch).drop("_text"), path, kind="parquet")
+        return spark.read.parquet(path)
+    stored = spark.read.parquet(path)
+    same = stored.select("point_id", "text_hash")
+    changed = shared_table(first.join(same, ["point_id", "text_hash"], "left_anti"), "changed")
+    if not changed.isEmpty():
+        made = upsert(stored, encode(changed, "_text", make_encoder, "vector", batch).drop("_text"), "point_id")
+        publish(made.select(*stored.columns, *(c for c in made.columns if c not in stored.columns)), path, True, "parquet")
+    return spark.read.parquet(path)
