@@ -82,11 +82,12 @@ def brand_map(spark, sf):
 
 
 @query("a27_distinct_in_order", """SELECT conv_id, string_agg(word, ' ' ORDER BY i) AS words FROM (SELECT conv_id, word, min(turn * 100000 + i) AS i FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS word,
-  generate_subscripts(regexp_extract_all(lower(text), '[a-z]{5,}'), 1) AS i FROM conversations WHERE turn = 0) GROUP BY conv_id, word) GROUP BY conv_id""")
+  generate_subscripts(regexp_extract_all(lower(text), '[a-z]{5,}'), 1) AS i FROM conversations) GROUP BY conv_id, word) GROUP BY conv_id""")
 def distinct_in_order(spark, sf):
-    first = table(spark, sf, "conversations").filter("turn = 0")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), 1))
-    return first.select("conv_id", F.array_join(words, " ").alias("words")).filter("words <> ''")
+    """Words of all turns of a conversation, each where it is first met."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), 1)
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", words.alias("words"))
+    return C.in_first_seen_order(turns, "conv_id", "words", "turn").select("conv_id", F.array_join("words", " ").alias("words"))
 
 
 @query("a28_dictionary_stats", """SELECT count(*) AS records, count(*) FILTER (p_size > 25) AS with_ingredients, count(*) FILTER (p_size % 3 = 0) AS high, count(DISTINCT lower(p_name)) AS name_keys, count(DISTINCT lower(p_brand)) AS brand_keys FROM part""")
