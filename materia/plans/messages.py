@@ -32,9 +32,8 @@ def intent_of_turns(spark, sf):
     return m.groupBy("c.intent", "c.topic").agg(F.count("*").alias("n"))
 
 
-@query("t12_text_kind", """SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'prescription' WHEN 1 THEN 'question' END AS kind FROM conversations WHERE conv_id % 3 < 2""")
+@query("t12_text_kind", """SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'prescription' WHEN 1 THEN 'question' ELSE 'other' END AS kind FROM conversations""")
 def text_kind(spark, sf):
     k = F.col("conv_id") % 3
     head = F.when(k == 0, "1. Omeprazol 20mg x 56 viên\nNgày uống 2 lần\n").when(k == 1, "contraindication? ").otherwise("")
-    c = table(spark, sf, "conversations").filter(k < 2)
-    return c.select("conv_id", "turn", M.kind_of_text(F.concat(head, "text", F.lit("\n-\n-"))).alias("kind"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", M.kind_of_text(F.concat(head, "text", F.lit("\n-\n-"))).alias("kind"))
