@@ -6,6 +6,8 @@ import random
 
 
 from materia.operators import evidence as E
+from materia.operators import resolve as R
+from materia.operators import risk as K
 from materia.operators.skew import salted_join
 
 
@@ -28,3 +30,19 @@ def test_search_in_blocks(spark):
     whole, blocks = (sorted(map(tuple, E.search(q, c, 5, "src0", rows_a_salt=n).collect())) for n in (10_000, 7))
     assert whole == blocks and len(whole) == 10
     assert "WindowGroupLimit" in E.search(q, c, 5, "src0")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_broadcast_of_what_grows(spark, tmp_path):
+    # 60,000 rows of two names compress to some kB of files, which is what Spark goes by before it runs
+    spark.range(60_000).selectExpr(
+        "id AS mapping_id", "'omega ring Brand 1' AS brand_name", "array('omega ring') AS aliases", "array('large') AS ingredients", "'high' AS confidence", "cast(array() AS array<string>) AS warnings"
+    ).write.parquet(f"{tmp_path}/d")
+    dictionary = spark.read.parquet(f"{tmp_path}/d")
+    asked = spark.createDataFrame([("q", "Omega ring")], "query_id string, name string")
+    best = R.rank_candidates(R.layered_lookup(asked, dictionary), dictionary, 1)
+    assert [r["mapping_id"] for r in best.collect()] == [0]
+    plan = R.rank_candidates(R.layered_lookup(asked, dictionary), dictionary, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in "\n".join(x for x in plan.splitlines() if "key#" in x or "mapping_id#" in x)
+    refs = spark.range(60_000).selectExpr("id AS run", "'c' AS chunk_id")
+    items = refs.selectExpr("run", "1 AS item", "array('c') AS evidence_refs")
+    assert "BroadcastHashJoin" not in K.supported_refs(items, refs, ["run", "item"])._jdf.queryExecution().executedPlan().toString()
