@@ -32,7 +32,21 @@ def intent_of_turns(spark, sf):
     return m.groupBy("c.intent", "c.topic").agg(F.count("*").alias("n"))
 
 
-@query("t12_text_kind", """SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'prescription' WHEN 1 THEN 'question' ELSE 'other' END AS kind FROM conversations""")
+def _folded_sql(x: str) -> str:
+    squeezed = f"trim(regexp_replace(regexp_replace(translate({x}, '®™', ''), '[\u2010-\u2015\u2212]', '-', 'g'), '\\s+', ' ', 'g'))"
+    return f"replace(strip_accents(lower({squeezed})), 'đ', 'd')"
+
+
+_WORD, _ANY = r"[^\p{L}\p{N}_]", "|".join
+TEXT_KIND_SQL = f"""WITH m AS (SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN '1. Omeprazol 20mg x 56 viên' || chr(10) || 'Ngày uống 2 lần' || chr(10) WHEN 1 THEN 'contraindication? ' ELSE '' END || text || chr(10) || '-' || chr(10) || '-' AS t FROM conversations),
+ l AS (SELECT *, {_folded_sql("t")} AS folded, list_filter(list_transform(regexp_split_to_array(t, '\\r\\n|[\\n\\x0b\\f\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: trim(x)), lambda x: x <> '') AS lines FROM m),
+ n AS (SELECT *, len(list_filter(lines, lambda x: regexp_matches(x, '(?i)^\\s*\\d+\\s*[.)\\-]\\s+.*{_WORD}(?:mcg|µg|mg|g|ml|iu|ui|mui|viên|vien|gói|goi)(?:{_WORD}|$)'))) AS numbered,
+  len(list_filter(lines, lambda x: regexp_matches({_folded_sql("x")}, '{_ANY(M.INSTRUCTION)}|{_ANY(M.CLINICAL)}'))) AS instructed FROM l)
+ SELECT conv_id, turn, CASE WHEN regexp_matches(folded, '{_ANY(M.DOCUMENT)}') OR len(lines) >= 3 AND (numbered >= 2 OR numbered >= 1 AND instructed >= 1) THEN 'prescription'
+  WHEN regexp_matches(folded, '{_ANY(M.QUESTION)}|{M.QUESTION_PATTERNS}') THEN 'question' ELSE 'other' END AS kind FROM n"""
+
+
+@query("t12_text_kind", TEXT_KIND_SQL)
 def text_kind(spark, sf):
     k = F.col("conv_id") % 3
     head = F.when(k == 0, "1. Omeprazol 20mg x 56 viên\nNgày uống 2 lần\n").when(k == 1, "contraindication? ").otherwise("")
