@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from materia.functions import text as X
+from materia.sources.shared import small_batches
 
 # Tags without content of the page, hints of a content container, headings that end it.
 NOISE = frozenset("script style noscript svg header footer nav form button iframe".split())
@@ -155,6 +156,8 @@ def parse_py(html: pd.Series) -> pd.DataFrame:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
+    """(page_id, url, title, main_text, events, table_rows). A worker holds a small batch of pages and what is made of them at a time."""
+    small_batches(pages.sparkSession)
     return pages.select("page_id", "url", parse_py("html").alias("p")).select("page_id", "url", "p.*")
 
 
