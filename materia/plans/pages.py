@@ -10,13 +10,22 @@ from materia.operators import chunking as C
 from materia.operators import pages as P
 from materia.operators.running import running
 from materia.registry import query, table
+from materia.sources.shared import small_batches
 
 
 def parsed(spark, sf):
     return P.parsed(table(spark, sf, "pages"))
 
 
-@query("t1_main_content", "SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)', 1), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '\\s+', ' ', 'g')) AS title FROM pages")
+def _text_sql(tag: str) -> str:
+    """The text of the first element of a tag: markup out, references decoded (their semicolon may be missing, ampersands last), white space squeezed."""
+    x = f"regexp_replace(regexp_extract(html, '(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}\\s*>', 1), '<[^>]*>', ' ', 'g')"
+    for names, sign in (("lt|LT", "<"), ("gt|GT", ">"), ("quot|QUOT", '"'), ("amp|AMP", "&")):
+        x = f"regexp_replace({x}, '&(?:{names});?', '{sign}', 'g')"
+    return f"nullif(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '')"
+
+
+@query("t1_main_content", f"SELECT page_id, coalesce({_text_sql('h1')}, {_text_sql('title')}) AS title FROM pages")
 def main_content(spark, sf):
     return parsed(spark, sf).select("page_id", "title")
 
@@ -117,6 +126,7 @@ def table_repair(spark, sf):
     """Each document's lines as the cells of rows that end as the one before; only eligible texts reach Python."""
     d = table(spark, sf, "documents").select("doc_id", "text")
     long = d.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), lambda s: F.concat_ws(" | ", s, s, F.substring(s, F.lit(2), F.length(s)), F.substring(s, F.lit(3), F.length(s)), F.substring(s, F.lit(4), F.length(s)), F.substring(s, F.lit(5), F.length(s)))), "\n").alias("t"))
+    small_batches(spark)
     ratio = X.deflate_ratio_py("t")
     ready = long.withColumn("ratio", ratio).filter(C.repair_eligible(F.col("t"), F.col("ratio")))
     fixed = ready.withColumn("r", C.repair_rows(F.col("t")))
