@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 
 
+from pyspark.sql import functions as F
+
 from materia.operators import evidence as E
 from materia.operators import resolve as R
 from materia.operators import risk as K
@@ -46,3 +48,14 @@ def test_no_broadcast_of_what_grows(spark, tmp_path):
     refs = spark.range(60_000).selectExpr("id AS run", "'c' AS chunk_id")
     items = refs.selectExpr("run", "1 AS item", "array('c') AS evidence_refs")
     assert "BroadcastHashJoin" not in K.supported_refs(items, refs, ["run", "item"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_kinds_scored_once(spark):
+    rng = random.Random(4)
+    chunks = [(i, rng.choice("xxy"), rng.choice(["s0", "s1", "s2", None]), f"src{i % 2}", [rng.random(), rng.random()]) for i in range(500)]
+    c = spark.createDataFrame(chunks, "chunk_id long, slug string, section string, source string, vector array<double>").repartition(3)
+    q = spark.createDataFrame([(1, ["x"], [1.0, 0.2]), (2, ["x", "y"], [0.1, 1.0]), (3, ["z"], [1.0, 1.0])], "query_id long, slugs array<string>, vector array<double>")
+    q = q.withColumn("kinds", F.expr("array(named_struct('query_type', 'a', 'sections', array('s0', 's1')), named_struct('query_type', 'b', 'sections', array('none')))"))
+    each = E.search(q.selectExpr("query_id", "slugs", "vector", "inline(kinds)"), c, 5, "src0", ("query_id", "query_type"))
+    once = E.search(q, c, 5, "src0", kinds="kinds")
+    assert once.columns == each.columns and sorted(map(tuple, once.collect())) == sorted(map(tuple, each.collect())) and each.count() == 20
