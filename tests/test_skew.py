@@ -59,3 +59,23 @@ def test_kinds_scored_once(spark):
     each = E.search(q.selectExpr("query_id", "slugs", "vector", "inline(kinds)"), c, 5, "src0", ("query_id", "query_type"))
     once = E.search(q, c, 5, "src0", kinds="kinds")
     assert once.columns == each.columns and sorted(map(tuple, once.collect())) == sorted(map(tuple, each.collect())) and each.count() == 20
+
+
+def test_cosines_by_blocks(spark):
+    rng = random.Random(5)
+    v = {i: [rng.uniform(-1, 1) for _ in range(3)] for i in range(23)} | {30: None, 31: [1.0, None, 2.0], 32: [1.0, 2.0], 33: [0.0, 0.0, 0.0]}
+    e = spark.createDataFrame(list(v.items()), "vec_id long, embedding array<float>").repartition(3)
+    found = {(r["id"], r["query_id"]): r["cosine"] for r in E.all_cosines(e, e.filter("vec_id % 2 = 0"), 4).collect()}
+    assert len(found) == len(v) * sum(i % 2 == 0 for i in v)
+    for (i, j), c in found.items():
+        a, b = v[i], v[j]
+        if not a or not b or None in a or None in b or len(a) != len(b):
+            assert c is None
+        elif not any(a) or not any(b):
+            assert c != c
+        else:
+            dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+            assert abs(c - dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5) < 1e-6
+    assert E.all_cosines(e.limit(0), e).count() == 0
+    # a row of the plan is a block, so the rows of a pair of vectors are made by one product
+    assert "zip_with" not in E.all_cosines(e, e)._jdf.queryExecution().analyzed().toString()
