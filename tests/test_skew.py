@@ -79,3 +79,12 @@ def test_cosines_by_blocks(spark):
     assert E.all_cosines(e.limit(0), e).count() == 0
     # a row of the plan is a block, so the rows of a pair of vectors are made by one product
     assert "zip_with" not in E.all_cosines(e, e)._jdf.queryExecution().analyzed().toString()
+
+
+def test_refs_are_looked_up_without_items(spark, sf_dir):
+    from materia.plans import risks as KP
+
+    # refs are looked up without a join back to their items, which safety_pass joins anyway
+    items = KP.items(spark, sf_dir)
+    plan = K._supported(items, KP.retrieved(spark, sf_dir), KP.KEYS)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 1 and "Join Inner" not in plan
