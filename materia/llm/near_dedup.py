@@ -1,5 +1,12 @@
 """Near-duplicates by the Jaccard similarity of word shingles, exactly.
 
+First comes SimHash through Golay-code fuzzy hashing, as in ``simhash``: the
+keys of the fingerprints are joined, and fingerprints at most two bits apart,
+or equal, give pairs, which are linked if their sets of shingles are similar.
+Similar texts whose fingerprints are further apart (at a similarity of 0.8 by
+ten bits or so) have no such key in common; an exact way finds them, as
+follows, and compares no pair that the first step put together.
+
 Texts become sets of hashed shingles (five lower-case words). If two sets are
 as similar as ``least``, they share at least ``ceil(least * n)`` shingles, n the
 size of the larger; in any common order of all shingles, the first
@@ -41,7 +48,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from materia.llm.common import fresh, hash_share, shared_table, small_batches
-from materia.llm.simhash import _WORDS, components
+from materia.llm.simhash import _WORDS, components, fingerprints, links
 
 SHINGLE = 5
 LEAST = 0.8
@@ -192,8 +199,24 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
     return shared_table(both.filter(similar).select("u", "v"), "similar")
 
 
+def golay_links(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
+    """(u, v), u < v: links of ``simhash`` whose sets are similar; documents of one fingerprint meet the smallest of them."""
+    marks = shared_table(fingerprints(docs.filter(F.col(id_col).isNotNull()), id_col, text_col), "fingerprints")
+    nodes = shared_table(marks.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    equal = marks.join(nodes, "fp").filter("doc_id > node").select(F.col("node").alias("u"), F.col("doc_id").alias("v")).distinct()
+    return verified(links(nodes).unionByName(equal), docs, id_col, text_col, shingle, least)
+
+
+def apart(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """Those of ``pairs(u, v)`` that ``linked(u, v)`` doesn't put together, neither by a link nor by one smallest neighbour of both."""
+    least = linked.groupBy("v").agg(F.min("u").alias("m"))
+    both = pairs.join(least.toDF("u", "mu"), "u", "left").join(least.toDF("v", "mv"), "v", "left")
+    return both.filter(F.coalesce("mu", "u") != F.coalesce("mv", "v")).select("u", "v").join(linked, ["u", "v"], "left_anti")
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """(u, v), u < v: links that connect all documents whose sets of shingles are similar."""
+    linked = golay_links(docs, id_col, text_col, shingle, least)
     order = frequent(docs, id_col, text_col, shingle)
     order = with_crowded(order, prefix_keys(docs, id_col, text_col, shingle, least, order), bucket_limit)
     keys = prefix_keys(docs, id_col, text_col, shingle, least, order)
@@ -223,7 +246,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
         a, b = large.alias("a"), stars.alias("b")
         met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") != F.col("b.node")) & alike)
         pairs = pairs.unionByName(met.select(*pair)).distinct()
-    found = verified(pairs, docs, id_col, text_col, shingle, least)
+    found = linked.unionByName(verified(apart(pairs, linked), docs, id_col, text_col, shingle, least))
     if not crowded:
         return found
     roots = shared_table(components(found), "roots")

@@ -7,7 +7,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from materia.llm import near_dedup
+from materia.llm import near_dedup, simhash
 
 
 def shingles(text):
@@ -83,3 +83,32 @@ def test_bitmaps_never_part_similar_texts(spark):
     every = [(i, j) for i in sets for j in sets if i < j]
     similar = {(i, j) for i, j in every if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
     assert len(similar) > 100 and similar <= left and len(left) < len(every) / 4
+
+
+def test_golay_links_are_found_without_prefix_keys(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for k in range(20):
+        base = rng.choices(words, k=800)
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(base).upper()), (10 * k + 2, " ".join([*base[:400], "other", *base[401:]]))]
+    near = {(10 * k, 10 * k + j) for k in range(20) for j in (1, 2) if (simhash.fingerprint_of(rows[3 * k][1]) ^ simhash.fingerprint_of(rows[3 * k + j][1])).bit_count() <= 2}
+    assert len(near) > 25
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = near_dedup.prefix_keys
+    monkeypatch.setattr(near_dedup, "prefix_keys", lambda *a: made(*a).limit(0))
+    assert near <= {(r["u"], r["v"]) for r in near_dedup.similar(docs).collect()}
+
+
+def test_golay_pairs_are_compared_once(spark, monkeypatch):
+    compared = []
+    checked = near_dedup.verified
+
+    def kept(pairs, *rest):
+        compared.append({(r["u"], r["v"]) for r in pairs.collect()})
+        return checked(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "verified", kept)
+    docs = spark.createDataFrame([(i, "a b c d e f g h" + " " * i) for i in range(1, 7)] + [(7, "other words")], "doc_id long, text string")
+    assert [r["doc_id"] for r in near_dedup.one_of_each(docs).orderBy("doc_id").collect()] == [1, 7]
+    assert compared == [{(1, i) for i in range(2, 7)}, set()]
