@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from materia.operators import evidence as E
 from materia.operators import resolve as R
 from materia.operators import risk as K
-from materia.operators.skew import salted_join
+from materia.operators.skew import dealt, salted_join
 
 
 def test_every_pair_once(spark):
@@ -88,3 +88,17 @@ def test_refs_are_looked_up_without_items(spark, sf_dir):
     items = KP.items(spark, sf_dir)
     plan = K._supported(items, KP.retrieved(spark, sf_dir), KP.KEYS)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftSemi") == 1 and "Join Inner" not in plan
+
+
+def test_parts_follow_the_rows(spark):
+    df = spark.range(1000)
+    made = dealt(df, 1000, "id", rows_a_task=100)
+    assert made.rdd.getNumPartitions() == 10 and made.count() == 1000
+    assert dealt(df.limit(0), 0, "id").count() == 0
+
+
+def test_attached_evidence_has_no_part_of_a_fixed_number(spark, sf_dir):
+    from materia.plans.risks import attached_evidence
+
+    plan = attached_evidence(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 3 and "ENSURE_REQUIREMENTS" not in plan and "BroadcastHashJoin" not in plan
